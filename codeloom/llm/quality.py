@@ -121,9 +121,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
-g AS (SELECT rid, unnest(range(1, len(w) - 3)) AS p, w FROM w WHERE len(w) >= 5),
-h AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, array_to_string(w[p:p + 4], ' ')) AS n FROM g),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT rid, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS g FROM w WHERE len(w) >= 5),
+h AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS n FROM g),
 c AS (SELECT rid, count(DISTINCT p + k) AS n FROM h, (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY rid),
 m AS (SELECT doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,

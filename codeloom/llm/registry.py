@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .decontam import op4_decontamination
+from .langid import op2_language_id
+from .linededup import op10_line_dedup
+from .mixing import OP9_SQL, op9_source_mixing
+from .pii import op5_pii
 from .quality import OP8_SQL, op8_quality_rules
+from .simhash import op1_simhash_near_dup
 
-QUERIES = {
-    "op8_quality_rules": op8_quality_rules,
-}
-SQL = {"op8_quality_rules": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dup, op2_language_id, op4_decontamination, op5_pii, op8_quality_rules, op9_source_mixing, op10_line_dedup)}
+SQL = {"op8_quality_rules": OP8_SQL, "op9_source_mixing": OP9_SQL}
