@@ -5,8 +5,8 @@ lines ends a chunk wherever its low bits are zero, so boundaries depend on the
 lines nearby only and come back after any insertion (the idea of content-defined
 chunking, with lines for bytes). Chunks of two or more lines that occur more than
 once anywhere are removed but for the first occurrence (smallest doc_id, then
-place). Equality is settled on bytes: a hash counts as repeated only if the
-smallest and largest text of its chunks are the same.
+place). Equality is settled on bytes: a hash counts as repeated only if all its
+chunks have one and the same text.
 
 Defined results: a null text stays null and has no lines; an empty text has one
 empty line; documents with null ids keep all their chunks and are no one's
@@ -46,8 +46,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """(doc_id, part, drop array<struct<start, end>>): the lines to remove, for rows that have any.
 
     part is the XXH64 of the row's text, which tells rows of the same id apart. One
-    shuffle of 40 bytes a chunk; texts of chunks move only where a hash is repeated,
-    once per input split, for the comparison of bytes.
+    shuffle of 40 bytes a chunk, and one for the comparison of bytes, to which every
+    task sends each text that it has once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("part"), F.col(text_col).alias("text"))
@@ -74,9 +74,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = cut(emit(False))
     place = F.struct("doc_id", "part", "start")
     again = cut(found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
-    # comparison of bytes, over one copy of each text from every task that read some
-    texts = emit(True).join(again.select("hash"), "hash", "left_semi").groupBy("hash", "raw").agg(F.count("*").alias("n"))
-    sure = again.join(texts.groupBy("hash").agg(F.count("*").alias("texts")).where("texts = 1"), "hash").select("hash", "first")
+    # comparison of bytes: tasks send one copy of each text, and a hash with two texts is not a repetition
+    texts = emit(True).groupBy("hash", "raw").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("texts"))
+    sure = cut(again.join(texts.where("texts > 1"), "hash", "left_anti"))
     gone = found.join(sure, "hash").where(place != F.col("first"))
     return gone.groupBy("doc_id", "part").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("drop"))  # at most the chunks of one row
 
