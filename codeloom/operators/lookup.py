@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ def edges_by_targets(g: Graph, targets: list[str]) -> DataFrame:
 
 def _like(c: Column, q: str) -> Column:
     """LIKE as in an engine that folds ASCII case only and has no escape character."""
-    fold = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return fold(c).like(fold(F.lit(q.replace("\\", "\\\\"))))
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return F.translate(c, upper, lower).like(q.translate(str.maketrans(upper, lower)).replace("\\", "\\\\"))
 
 
 def search_symbols(g: Graph, q: str, k: int = 50) -> DataFrame:

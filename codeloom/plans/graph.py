@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,15 +83,14 @@ def derived(spark: SparkSession, sf_dir: str) -> Graph:
     n = tables["supplier"].count()
     made = {}
     for name, sql in DERIVED.items():
-        text = sql.replace("% N)", f"% {n})").replace("% N ", f"% {n} ").replace("SHA(s_name)", "sha2(s_name, 256)").replace("MILLIS(", "unix_millis(")
+        text = sql.replace("% N)", f"% {n})").replace("% N ", f"% {n} ").replace("SHA(s_name)", "sha2(s_name, 256)")
+        text = re.sub(r"MILLIS\((\w+)\)", r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', \1)", text)  # free of the session's time zone
         made[name] = spark.sql(_with_frames(text), **{t: df for t, df in tables.items() if f" {t}" in text})
     return Graph(**made)
 
 
 def _with_frames(text: str) -> str:
     """Table names as {placeholders} that spark.sql() fills with DataFrames."""
-    import re
-
     return re.sub(r"\b(FROM|JOIN) (" + "|".join(SOURCES) + r")\b", r"\1 {\2}", text)
 
 
