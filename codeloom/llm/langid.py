@@ -9,8 +9,8 @@ padded with spaces) that cover it all; its distribution is the mean of its
 windows' distributions, weighted by their bytes.
 
 Training reads a bounded sample: at most `per_lang` labelled documents of each
-language, those with the smallest hash of the id, and PIECES windows spread
-over each. Prediction uses the text alone.
+language (of the MOST_LANGS most frequent ones), those with the smallest hash of
+the id, and PIECES windows spread over each. Prediction uses the text alone.
 
 Defined results: a null text or one without a letter is 'und' with score 0, and
 so is everything if no labelled row is left to learn from; null ids pass
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 WINDOW, PIECES, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
-MOST_LANGS = 1000
+MOST_LANGS, SPARE = 1000, 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -110,8 +110,14 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, steps: int = 500, seed: int = 7) -> Model | None:
     """A model from at most per_lang rows of each language; None if there are none."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # Only rows whose hash is below a bound that leaves about SPARE * per_lang of a language are dealt out and ordered.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    if not sizes:
+        return None
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, SPARE * per_lang / r.n))])[F.col("lang")]
+    few = labelled.select("doc_id", "lang").where(F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5 <= share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).limit(per_lang * MOST_LANGS).select("doc_id").distinct()
+    ids = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct()
     chosen = [r.doc_id for r in ids.collect()]  # per_lang * MOST_LANGS at most
     if not chosen:
         return None
