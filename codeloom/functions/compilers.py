@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fixed
+
 TOOL = "codeloom query"
-MOST = 20
-NAME = "['`]([$A-Za-z_][$.\\w]*)['`]"
-SEARCHED = ("TS2345", "TS2339", "TS2304", "TS2322")
 
 
 def _lines(logs: DataFrame) -> DataFrame:
@@ -17,8 +16,8 @@ def _lines(logs: DataFrame) -> DataFrame:
 
 
 def _capped(rows: DataFrame) -> DataFrame:
-    """The first MOST issues of each log, as the limit of a report."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("log_id").orderBy("no"))).where(F.col("n") <= MOST).drop("n")
+    """The first MOST_ERRORS issues of each log, as the limit of a report."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("log_id").orderBy("no"))).where(F.col("n") <= fixed.MOST_ERRORS).drop("n")
 
 
 def _relative(file: Column, root: str) -> Column:
@@ -28,12 +27,12 @@ def _relative(file: Column, root: str) -> Column:
 
 def identifier(message: Column) -> Column:
     """First quoted name."""
-    return F.nullif(F.regexp_extract(message, NAME, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(message, fixed.IDENTIFIER, 1), F.lit(""))
 
 
 def suggestions(code: Column, message: Column, file: Column) -> Column:
-    names = F.regexp_extract_all(message, F.lit(NAME), F.lit(1))
-    wanted = F.when(code.isin(*SEARCHED), identifier(message)).when(code == "TS2305", F.try_element_at(names, F.lit(-1)))
+    names = F.regexp_extract_all(message, F.lit(fixed.IDENTIFIER), F.lit(1))
+    wanted = F.when(code.isin(*fixed.SEARCHED_CODES), identifier(message)).when(code == "TS2305", F.try_element_at(names, F.lit(-1)))
     return F.filter(F.array(F.when(file != "", F.concat(F.lit(f"{TOOL} impact "), file)), F.concat(F.lit(f"{TOOL} search "), wanted)), lambda x: x.isNotNull())
 
 
@@ -45,9 +44,8 @@ def _issues(rows: DataFrame, pattern: str, root: str, code: Column | None = None
 
 
 def tsc(logs: DataFrame, root: str = "") -> DataFrame:
-    pattern = r"^(.+?)\((\d+),(\d+)\): error (TS\d+): (.+)$"
     rows = _capped(_lines(logs).where(F.col("raw").contains("error TS")))
-    return _issues(rows, pattern, root, F.regexp_extract("t", pattern, 4)).withColumn("queries", suggestions(F.col("code"), F.col("message"), F.col("file")))
+    return _issues(rows, fixed.TSC_ERROR, root, F.regexp_extract("t", fixed.TSC_ERROR, 4)).withColumn("queries", suggestions(F.col("code"), F.col("message"), F.col("file")))
 
 
 def _with_impact(df: DataFrame) -> DataFrame:
@@ -55,20 +53,17 @@ def _with_impact(df: DataFrame) -> DataFrame:
 
 
 def go_vet(logs: DataFrame, root: str = "") -> DataFrame:
-    pattern = r"^\.?/?([./\w]+\.go):(\d+):(\d+):\s*(.+)$"
-    return _with_impact(_issues(_capped(_lines(logs).where(F.col("raw").rlike(r"\.go(:\d+){2}:"))), pattern, root, F.lit("GO_VET")))
+    return _with_impact(_issues(_capped(_lines(logs).where(F.col("raw").rlike(fixed.GO_VET_LINE))), fixed.GO_VET_ERROR, root, F.lit("GO_VET")))
 
 
 def cargo(logs: DataFrame, root: str = "") -> DataFrame:
     """A code line names the error of the next place line, and of no later one."""
-    pattern = r"^-->\s*([./\w]+\.rs):(\d+):(\d+)"
     w = Window.partitionBy("log_id").orderBy("no")
-    rows = _lines(logs).withColumns({"c": F.nullif(F.regexp_extract("raw", r"^error\[([A-Z]\d+)\]", 1), F.lit("")), "at": F.col("raw").rlike(r"^\s*" + pattern[1:])}).where("c IS NOT NULL OR at")
+    rows = _lines(logs).withColumns({"c": F.nullif(F.regexp_extract("raw", fixed.CARGO_CODE, 1), F.lit("")), "at": F.col("raw").rlike(fixed.CARGO_PLACE)}).where("c IS NOT NULL OR at")
     rows = rows.withColumn("code", F.coalesce(F.lag("c").over(w), F.lit(""))).where("at AND c IS NULL")
-    return _with_impact(_issues(_capped(rows), pattern, root, F.col("code"), F.concat("code", F.lit(": "), "t")))
+    return _with_impact(_issues(_capped(rows), fixed.CARGO_PLACE, root, F.col("code"), F.concat("code", F.lit(": "), "t")))
 
 
 def generic(logs: DataFrame, files: str = r"\.(java|cs|scala)", root: str = "") -> DataFrame:
     """Java, C# and Scala: lines that name such a file and an error."""
-    pattern = r"^(.+?)[(:](\d+)[:,]?(\d*)\)?:?\s*(?:error\s*)?(.+)$"
-    return _with_impact(_issues(_capped(_lines(logs).where(F.col("raw").rlike(files) & F.col("raw").rlike("(?i)error"))), pattern, root))
+    return _with_impact(_issues(_capped(_lines(logs).where(F.col("raw").rlike(files) & F.col("raw").rlike("(?i)error"))), fixed.GENERIC_ERROR, root))

@@ -5,43 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fixed
 from .paths import dirname, join_path
 
-_Q, _S = "[\"']", "[\"']([^\"']+)[\"']"
-STATIC = rf"(import|export)\s+(?:type\s+)?(?:(?:\w+|\*\s+as\s+\w+|\{{[^}}]*\}})\s+from\s+)?{_S}"
-REQUIRE, DYNAMIC, BARE = rf"require\s*\(\s*{_S}\s*\)", rf"\bimport\s*\(\s*{_S}\s*\)", rf"(?m)^import\s+{_S}\s*;?\s*$"
-#: Language -> patterns with the specifier in group 1.
-SIMPLE = {
-    "python": [r"(?m)^import\s+([.\w]+)", r"(?m)^from\s+([.\w]+)\s+import", r"(?m)^from\s+(\.+\w*)\s+import"],
-    "rust": [r"(?m)^use\s+([:\w]+(?:::\{[^}]+\})?(?:::\*)?)\s*;", r"(?m)^mod\s+(\w+)\s*;", r"(?m)^extern\s+crate\s+(\w+)\s*;"],
-    "java": [r"(?m)^import\s+(?:static\s+)?([.\w]+(?:\.\*)?)\s*;"],
-    "scala": [r"(?m)^import\s+([.\w]+(?:\._|\.\*|\.\{[^}]+\})?)\s*;?$"],
-    "csharp": [r"(?m)^using\s+(?:static\s+)?(?:\w+\s*=\s*)?([.\w]+)\s*;"],
-    "ruby": [rf"(?m)^require(?:_relative)?\s+{_S}", rf"(?m)^load\s+{_S}"],
-}
-GO_ONE, GO_BLOCK, GO_LINE = rf"(?m)^import\s+(?:\w+\s+)?{_S}", r"(?ms)^import\s*\(([^)]*)\)", rf"(?:\w+\s+)?{_S}"
-
 
 def _all(code: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(code, F.lit(pattern), F.lit(group))
 
 
-def _entries(specifiers: Column, kind: str | None = None, kinds: Column | None = None) -> Column:
-    if kinds is not None:
-        return F.transform(F.arrays_zip(specifiers.alias("s"), kinds.alias("k")), lambda x: F.struct(x["s"].alias("specifier"), x["k"].alias("kind")))
+def _entries(specifiers: Column, kind: str = "import") -> Column:
     return F.transform(specifiers, lambda s: F.struct(s.alias("specifier"), F.lit(kind).alias("kind")))
 
 
+def _static(code: Column) -> Column:
+    """Static imports and re-exports; the first word of a match tells which."""
+    kinds = F.transform(_all(code, fixed.TS_IMPORT, 0), lambda m: F.when(m.startswith("export"), "export").otherwise("import"))
+    both = F.arrays_zip(_all(code, fixed.TS_IMPORT).alias("s"), kinds.alias("k"))
+    return F.transform(both, lambda x: F.struct(x["s"].alias("specifier"), x["k"].alias("kind")))
+
+
 def import_entries(code: Column, language: Column) -> Column:
     """array<struct<specifier, kind>> in order of pattern, then place; repeats stay."""
-    first, required = _all(code, STATIC, 2), _all(code, REQUIRE)
-    seen = F.array_union(first, required)
-    fresh = lambda a: F.filter(a, lambda s: ~F.array_contains(seen, s))
-    script = F.concat(_entries(first, kinds=_all(code, STATIC, 1)), _entries(required, "import"), _entries(fresh(_all(code, BARE)), "import"), _entries(fresh(_all(code, DYNAMIC)), "import"))
-    go = F.concat(_entries(_all(code, GO_ONE), "import"), _entries(F.flatten(F.transform(_all(code, GO_BLOCK), lambda b: _all(b, GO_LINE))), "import"))
+    required = _all(code, fixed.TS_REQUIRE)
+    seen = F.array_union(_all(code, fixed.TS_IMPORT), required)
+    fresh = lambda p: _entries(F.filter(_all(code, p), lambda s: ~F.array_contains(seen, s)))
+    script = F.concat(_static(code), _entries(required), fresh(fixed.TS_SIDE_EFFECT), fresh(fixed.TS_DYNAMIC_IMPORT))
+    inner = F.flatten(F.transform(_all(code, fixed.GO_IMPORT_BLOCK), lambda b: _all(b, fixed.GO_IMPORT_LINE)))
+    go = F.concat(_entries(_all(code, fixed.GO_IMPORT_SINGLE)), _entries(inner))
     out = F.when(language.isin("typescript", "javascript"), script).when(language == "go", go)
-    for name, patterns in SIMPLE.items():
-        out = out.when(language == name, F.concat(*[_entries(_all(code, p), "import") for p in patterns]))
+    for name, patterns in fixed.IMPORTS.items():
+        out = out.when(language == name, F.concat(*[_entries(_all(code, p)) for p in patterns]))
     return out.otherwise(F.array().cast("array<struct<specifier:string,kind:string>>"))
 
 
@@ -50,15 +43,12 @@ def extract_imports(files: DataFrame) -> DataFrame:
     return files.select("path", "language", F.posexplode(import_entries(F.coalesce("content", F.lit("")), F.col("language"))).alias("no", "e")).select("path", "language", "no", "e.specifier", "e.kind")
 
 
-SCRIPT_ENDS = (".ts", ".tsx", ".js", ".jsx")
-
-
 def candidates(specifier: Column, path: Column, language: Column) -> Column:
     """array of paths that a specifier may mean, best first; the last is what it means if none exists."""
     here = dirname(path)
     local = specifier.startswith(".")
     joined = join_path(here, specifier)
-    script = F.array(joined, *[F.concat(joined, F.lit(e)) for e in SCRIPT_ENDS], *[F.concat(joined, F.lit(f"/index{e}")) for e in SCRIPT_ENDS], joined)
+    script = F.array(joined, *[F.concat(joined, F.lit(e)) for e in fixed.RESOLVE_EXTENSIONS + fixed.RESOLVE_INDEX_FILES], joined)
     dots, rest = F.regexp_extract(specifier, r"^(\.+)", 1), F.regexp_replace(specifier, r"^\.+", "")
     up = F.aggregate(F.sequence(F.lit(1), F.length(dots)), here, lambda d, i: F.when(i == 1, d).otherwise(dirname(d)))
     python = F.when(rest == "", up).otherwise(join_path(up, F.replace(rest, F.lit("."), F.lit("/"))))

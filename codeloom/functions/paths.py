@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".kt": "java", ".scala": "scala", ".cs": "csharp", ".rb": "ruby"}
-#: Any of these makes a path a test file; none is tied to the start of a name.
-TEST_FILE = "|".join((r"\.(test|spec)\.[jt]sx?$", r"(test_.*|_test)\.py$", r"_test\.(go|rs|rb)$", r"_spec\.rb$", r"Test\.(java|kt|scala)$", r"Tests?\.cs$", r"Spec\.scala$"))
+from . import fixed
+
+TEST_FILE = "|".join(fixed.TEST_FILES)
 
 
 def basename(p: Column) -> Column:
@@ -30,7 +30,7 @@ def stem(p: Column) -> Column:
 
 
 def language_of(p: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for kv in fixed.LANGUAGES.items() for x in kv])
     return F.coalesce(names[extension(p)], F.lit("unknown"))
 
 

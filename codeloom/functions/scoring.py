@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import fixed
 from .paths import is_test, round3
 
 
@@ -14,8 +15,9 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def risk(affected: Column, files: Column, breaks: Column, packages: Column, all_packages: Column, untested: Column, boundary: Column) -> Column:
     """Weighted change risk between 0 and 1, before rounding."""
-    x = 0.25 * _ratio(affected, files) + 0.30 * F.least(breaks / 3.0, F.lit(1.0)) + 0.15 * _ratio(packages, all_packages)
-    x = x + 0.20 * _ratio(untested, affected) + 0.10 * F.least(F.greatest(boundary, F.lit(0.0)), F.lit(1.0))
+    w = fixed.RISK_WEIGHTS
+    x = w["files"] * _ratio(affected, files) + w["api"] * F.least(breaks / fixed.BREAKS_AT_FULL, F.lit(1.0)) + w["packages"] * _ratio(packages, all_packages)
+    x = x + w["tests"] * _ratio(untested, affected) + w["boundary"] * F.least(F.greatest(boundary, F.lit(0.0)), F.lit(1.0))
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
@@ -24,7 +26,10 @@ def risk_score(x: Column) -> Column:
 
 
 def risk_category(x: Column) -> Column:
-    return F.when(x < 0.3, "low").when(x < 0.6, "medium").when(x < 0.8, "high").otherwise("critical")
+    out = F
+    for most, name in fixed.RISK_LEVELS:
+        out = out.when(x < most, name)
+    return out.otherwise(fixed.TOP_LEVEL)
 
 
 def boundary_proximity(breaks: Column, public: Column) -> Column:
@@ -37,15 +42,16 @@ def boundary_risk(breaks: Column) -> Column:
 
 def fast_risk(direct: Column) -> Column:
     """Category from the number of direct dependents alone."""
-    return F.when(direct <= 2, "low").when(direct <= 5, "medium").when(direct <= 10, "high").otherwise("critical")
+    out = F
+    for most, name in fixed.FAST_LEVELS:
+        out = out.when(direct <= most, name)
+    return out.otherwise(fixed.TOP_LEVEL)
 
 
-WEIGHTS = {"import": 1.0, "importer": 0.6, "reference": 0.8}
-
 
 def priority(depth: int, mechanism: str, path: Column, boost: Column | float = 1.0, include_tests: bool = False) -> Column:
-    base = F.lit(1.0 / (1 + depth)) * WEIGHTS[mechanism] * boost
-    return base if include_tests else base * F.when(is_test(path), 0.3).otherwise(1.0)
+    base = F.lit(1.0 / (1 + depth)) * fixed.PRIORITY_WEIGHTS[mechanism] * boost
+    return base if include_tests else base * F.when(is_test(path), fixed.TEST_PENALTY).otherwise(1.0)
 
 
 def reference_boost(count: Column) -> Column:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFINITION, IMPORT, WRITE, READ, GENERATED, TEST, FORWARD = 1, 2, 4, 8, 16, 32, 64
-KINDS = dict(zip(
-    (1, 7, 8, 9, 11, 12, 15, 17, 18, 21, 25, 26, 29, 30, 33, 35, 37, 41, 45, 49, 53, 54, 55, 58, 61, 66, 80, 81, 82),
-    "array class constant constructor enum enum_member field function getter interface macro method module namespace object package parameter property setter struct trait type type_alias type_parameter variable abstract_method static_method static_property static_variable".split(),
-))
+from . import fixed
+
+DEFINITION = fixed.ROLES["definition"]
 
 
 def pack(line: Column, column: Column) -> Column:
@@ -39,17 +37,17 @@ def has_role(roles: Column, role: int = DEFINITION) -> Column:
 
 
 def kind_name(kind: Column) -> Column:
-    return F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v))])[kind]
+    return F.create_map(*[x for k, v in fixed.KINDS.items() for x in (F.lit(k), F.lit(v))])[kind]
 
 
 def inferred_kind(s: Column) -> Column:
     """Kind from the suffix of a symbol string."""
     return (
-        F.when(s.rlike(r"\([$\w]+\)$"), "parameter")
-        .when(s.rlike(r"\[[$\w]+\]$"), "type_parameter")
+        F.when(s.rlike(fixed.PARAMETER_SUFFIX), "parameter")
+        .when(s.rlike(fixed.TYPE_PARAMETER_SUFFIX), "type_parameter")
         .when(s.endswith("#"), "class")
-        .when(s.rlike(r"#[^/]*\(\)\.$"), "method")
-        .when(s.endswith("()."), "function")
+        .when(s.rlike(fixed.METHOD_SUFFIX), "method")
+        .when(s.rlike(fixed.FUNCTION_SUFFIX), "function")
         .when(s.endswith("."), "variable")
     )
 
@@ -58,9 +56,10 @@ def short_name(s: Column) -> Column:
     """Name in a symbol string: its last descriptor, else the last back-quoted name without
     a dot, else its last token that isn't a version or bare punctuation, else the whole."""
     last = lambda a: F.try_element_at(a, F.lit(-1))
-    descriptor = last(F.regexp_extract_all(s, F.lit(r"[/#]([$A-Za-z_][$\w]*)(?:\(\))?(?=[#.])"), F.lit(1)))
-    quoted = last(F.regexp_extract_all(s, F.lit("`([^`]+)`"), F.lit(1)))
-    token = last(F.filter(F.split(s, r"[\s/]"), lambda p: (p != "") & ~p.startswith("`") & ~p.isin("#", "()") & ~p.rlike(r"^\d+(\.\d+){2}$")))
+    descriptor = last(F.regexp_extract_all(s, F.lit(fixed.DESCRIPTOR), F.lit(1)))
+    quoted = last(F.regexp_extract_all(s, F.lit(fixed.QUOTED_NAME), F.lit(1)))
+    plain = lambda p: (p != "") & ~p.startswith("`") & ~p.isin("#", "()") & ~p.rlike(fixed.VERSION)
+    token = last(F.filter(F.split(s, fixed.SYMBOL_PARTS), plain))
     return F.coalesce(descriptor, F.when(~quoted.contains("."), quoted), F.nullif(F.translate(token, "()#.", ""), F.lit("")), s)
 
 

@@ -10,6 +10,10 @@ from ..functions import symbols as S
 from ..functions.imports import extract_imports, resolve
 from ..functions.paths import in_project, language_of
 from ..plans.graph import Graph
+from ..runtime import cut
+
+#: Powers of four that hold the lines of any packed position.
+LEVELS = 8
 
 
 def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -57,23 +61,45 @@ def set_project_time(projects: DataFrame, project_id: str, ts: int) -> DataFrame
 
 def log_events(ledger: DataFrame, new: DataFrame) -> DataFrame:
     """Appends new(timestamp, event, data) with ids after the largest one, in order of time and text."""
-    top = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    n = F.row_number().over(Window.orderBy("timestamp", "event", "data"))
-    return ledger.unionByName(new.withColumn("n", n).join(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), "timestamp", "event", "data"))  # one row
+    top = ledger.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    return ledger.unionByName(numbered(new, ["timestamp", "event", "data"], "id", top + 1).select("id", "timestamp", "event", "data"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """rows with consecutive numbers in an order, without bringing them into one task.
+
+    Ranges of the order are sorted apart; their sizes (a row for each partition) tell where each begins.
+    """
+    parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__n": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    if not sizes:
+        return parts.select(*rows.columns, F.lit(start).cast("bigint").alias(name))
+    begin, at = {}, start
+    for part in sorted(sizes):
+        begin[part], at = at, at + sizes[part]
+    where = F.create_map(*[F.lit(x) for kv in begin.items() for x in kv])[F.col("__part")]
+    return parts.select(*rows.columns, (where + F.col("__n")).cast("bigint").alias(name))
 
 
 def call_edges(occurrences: DataFrame) -> DataFrame:
     """(source, target): symbol whose definition encloses a reference most closely, and the referred symbol.
 
-    Definitions and references meet by file, and then by containment. A definition may have
+    Definitions and references meet by file and block of lines: a definition has the blocks (two at
+    most) of the smallest power of four that holds its lines, a reference one block of each size. So
+    a reference meets definitions around its place only, not all of its file. A definition may have
     enclosing_start and enclosing_end; its own range counts otherwise. No call of itself; a pair
     counts once in a file.
     """
     lo = F.col("enclosing_start") if "enclosing_start" in occurrences.columns else F.col("range_start")
     hi = F.col("enclosing_end") if "enclosing_end" in occurrences.columns else F.col("range_end")
-    defs = occurrences.where(S.has_role(F.col("roles"))).select("file_path", F.coalesce(lo, "range_start").alias("d0"), F.coalesce(hi, "range_end").alias("d1"), F.col("symbol_id").alias("source"))
+    defs = occurrences.where(S.has_role(F.col("roles"))).select("file_path", F.coalesce(lo, "range_start").alias("d0"), F.coalesce(hi, "range_end").alias("d1"), F.col("symbol_id").alias("source")).where("d0 <= d1")
+    first, last = S.line_of(F.col("d0")), S.line_of(F.col("d1"))
+    bits = F.length(F.bin(last - first))
+    defs = defs.withColumn("level", F.when(last == first, 0).otherwise(F.ceil(bits / 2)).cast("int"))
+    defs = defs.withColumn("block", F.explode(F.array_distinct(F.array(F.expr("(d0 >> 16) >> (2 * level)"), F.expr("(d1 >> 16) >> (2 * level)")))))
     refs = occurrences.where(~S.has_role(F.col("roles"))).select("file_path", "range_start", "range_end", F.col("symbol_id").alias("target"))
-    inside = refs.join(defs, "file_path").where("d0 <= range_start AND range_end <= d1")
+    refs = refs.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("block", F.expr("(range_start >> 16) >> (2 * level)"))
+    inside = refs.join(defs, ["file_path", "level", "block"]).where("d0 <= range_start AND range_end <= d1")
     best = inside.groupBy("file_path", "range_start", "range_end", "target").agg(F.max_by("source", F.struct("d0", "source")).alias("source"))
     return best.where("source <> target").select("file_path", "source", "target").distinct().select("source", "target", F.lit("calls").alias("kind"), F.lit("approximate").alias("confidence"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import fixed, scoring
 from ..functions.paths import is_test, snippet, token_estimate
 from ..functions.symbols import has_role, line_of
 from ..plans.graph import Graph
@@ -15,12 +15,11 @@ from .lookup import named_kinds
 from .traverse import importers, referrers
 
 MOST = 100
-ENDS = (".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs")
 
 
 def resolve_targets(g: Graph, edges: DataFrame) -> DataFrame:
-    """edges(via, target) as (via, node): the target itself or with an extension or /index file, if it is a known file."""
-    tries = F.array(F.col("target"), *[F.concat("target", F.lit(e)) for e in ENDS], *[F.concat("target", F.lit(f"/index{e}")) for e in ENDS[:4]])
+    """edges(via, target) as (via, node): the target itself or with an extension, if it is a known file."""
+    tries = F.array(F.col("target"), *[F.concat("target", F.lit(e)) for e in fixed.CONTEXT_EXTENSIONS])
     rows = edges.select("via", "target", F.posexplode(tries).alias("p", "path")).join(g.files.select("path"), "path")
     return rows.groupBy("via", "target").agg(F.min_by("path", "p").alias("node")).select("via", "node")
 

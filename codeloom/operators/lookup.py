@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import symbols as S
 from ..functions.paths import extension, snippet
 from ..plans.graph import Graph
@@ -82,7 +83,7 @@ def named_kinds(symbols: DataFrame) -> DataFrame:
 
 def is_source(p: Column) -> Column:
     """Files that freshness looks at; fewer than those that are indexed."""
-    return extension(p).isin(".ts", ".tsx", ".js", ".jsx", ".py")
+    return extension(p).isin(*fixed.FRESH_EXTENSIONS)
 
 
 def status(g: Graph) -> DataFrame:

@@ -71,7 +71,7 @@ def dot_lines(edges: DataFrame) -> DataFrame:
 def to_dot(node_rows: list, edge_rows: list) -> str:
     """DOT text of a drawn (small, collected) graph."""
     q = lambda s: json.dumps(s, ensure_ascii=False)
-    lines = ["digraph {", "  rankdir=LR;", "  node [shape=box];", *(f"  {q(n['path'])};" for n in node_rows)]
+    lines = ["digraph module_graph {", "  rankdir=LR;", "  node [shape=box, style=rounded];", *(f"  {q(n['path'])};" for n in node_rows)]
     for e in edge_rows:
         w = f", weight={e['weight']}" if e["weight"] is not None else ""
         lines.append(f"  {q(e['from'])} -> {q(e['to'])} [label={q(e['kind'])}{w}];")

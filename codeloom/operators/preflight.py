@@ -22,12 +22,16 @@ def _uses(g: Graph, path: str) -> DataFrame:
 
 
 def symbols(g: Graph, path: str, fast: bool = False) -> DataFrame:
-    """(id, name, kind, is_exported, n_call_sites, test_files). Export edges don't matter here: a use in another file does."""
+    """(id, name, kind, signature, is_exported, n_call_sites, test_files).
+
+    Export edges don't matter here: a use in another file does. The signature is the first line of the definition.
+    """
     out = F.col("file_path") != path
     n = F.count_if(out)
+    heads = with_snippets(named_kinds(g.symbols).where(F.col("file_path") == path), g.contents).select("id", F.coalesce(F.split("snippet", "\n")[0], F.lit("")).alias("signature"))
     return _uses(g, path).groupBy(F.col("symbol_id").alias("id"), "name", "kind").agg(
         F.coalesce(F.bool_or(out), F.lit(False)).alias("is_exported"), (F.least(n, F.lit(5)) if fast else n).alias("n_call_sites"), F.array_sort(F.collect_set(F.when(is_test(F.col("file_path")), F.col("file_path")))).alias("test_files")
-    )
+    ).join(heads, "id").select("id", "name", "kind", "signature", "is_exported", "n_call_sites", "test_files")
 
 
 def call_sites(g: Graph, path: str, fast: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import compilers, redaction, symbols as S
+from ..functions import compilers, fixed, redaction, symbols as S
 from ..functions.imports import extract_imports, resolve
 from ..functions.paths import TEST_FILE, content_hash, is_test, normalize, stem, test_command, token_estimate
 from ..operators import changes, context, impact, lookup, metrics, modules, preflight, prefix, traverse, verify
@@ -403,19 +403,45 @@ def verify_summary(g):
 # --- context and preflight ---------------------------------------------------------------
 
 
-@query()
+def _level(d: int) -> str:
+    """Files first met at level d, from those of level d - 1; the search ends after a level with which 100 files are known."""
+    known = " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(d))
+    w = f"1.0::DOUBLE / {1 + d}"
+    test = f"CASE WHEN regexp_matches(node, '{TEST_SQL}') THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END"
+    return f"""k{d} AS ({known}),
+c{d} AS (SELECT arg_min(f.path, e.no) AS node, 0 AS rank, via, '' AS sym, 1.0::DOUBLE AS w, 'imported by ' || via AS reason FROM (SELECT v.node AS via, target, unnest(range({len(fixed.CONTEXT_EXTENSIONS) + 1})) AS no, unnest([''] || {fixed.CONTEXT_EXTENSIONS}) AS ext FROM v{d - 1} v JOIN edges ON source = v.node WHERE kind = 'imports') e JOIN files f ON f.path = target || ext GROUP BY via, target
+  UNION ALL SELECT source, 1, node, '', 0.6::DOUBLE, 'imports ' || node FROM v{d - 1} JOIN edges ON target IN (node, {STEM.format('node')})
+  UNION ALL SELECT node, 2, via, sym, 0.8::DOUBLE * (1 + 0.3::DOUBLE * least(1.0::DOUBLE, min(n) / 5.0::DOUBLE)), 'references symbol from ' || via FROM (SELECT o.file_path AS node, via, sym, row_number() OVER (PARTITION BY via, sym ORDER BY o.file_path) AS n FROM (SELECT DISTINCT symbol_id AS sym, v.node AS via FROM v{d - 1} v JOIN oc ON file_path = v.node WHERE roles & 1 = 1) s JOIN oc o ON o.symbol_id = sym WHERE roles & 1 = 0) GROUP BY node, via, sym),
+v{d} AS (SELECT node, {d} AS depth, arg_min({w} * w * {test}, (rank, via, sym)) AS priority, arg_min(reason, (rank, via, sym)) AS reason FROM c{d} WHERE node NOT IN (SELECT node FROM k{d}) AND (SELECT count(*) FROM k{d}) < {context.MOST if d > 1 else 1 << 30} GROUP BY node)"""
+
+
+CONTEXT = f"""{SPARSE}, v0 AS (SELECT path AS node, 0 AS depth, 1.0::DOUBLE AS priority, 'entry file' AS reason FROM files WHERE path = '{FILE}'),
+{_level(1)},
+{_level(2)},
+cx AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2)"""
+
+
+@query(f"+{CONTEXT} SELECT node AS path, depth, round(priority, 6) AS priority, reason FROM cx", "files occurrences edges")
 def context_bfs(g):
     return context.discover(_sparse(g), [FILE], 2).withColumn("priority", F.round("priority", 6))
 
 
-@query()
+#: The fold over the ordered files, one step of the recursion for each.
+BUDGET = """sz AS (SELECT node AS path, priority, depth, coalesce(ceil(length(content) / 4), 0)::BIGINT AS whole, content FROM cx LEFT JOIN contents ON path = node),
+sg AS (SELECT sz.path, ceil((sum(length(string_split(sz.content, chr(10))[(range_start >> 16) + 1])) + count(*) - 1) / 4)::BIGINT AS sig FROM sz JOIN symbols ON file_path = sz.path WHERE kind <> '' AND range_start IS NOT NULL AND (range_start >> 16) < len(string_split(sz.content, chr(10))) GROUP BY 1),
+od AS (SELECT *, coalesce(sig, 0) AS brief, row_number() OVER (ORDER BY priority DESC, depth, path) AS pos FROM sz LEFT JOIN sg USING (path)),
+fd AS (SELECT 0 AS pos, '' AS path, 0.0::DOUBLE AS priority, 0 AS depth, '' AS mode, 0::BIGINT AS tokens, 0::BIGINT AS total
+  UNION ALL SELECT od.pos::INT, od.path, od.priority, od.depth, CASE WHEN total + whole <= 8000 THEN 'full' ELSE 'signatures' END, CASE WHEN total + whole <= 8000 THEN whole ELSE brief END, total + CASE WHEN total + whole <= 8000 THEN whole ELSE brief END FROM fd JOIN od ON od.pos = fd.pos + 1 WHERE od.pos <= 100 AND total + least(whole, brief) <= 8000 AND (total + whole <= 8000 OR total + brief <= 8000))"""
+
+
+@query(f"+{CONTEXT}, {BUDGET} SELECT pos, path, round(priority, 6) AS priority, depth, mode, tokens, total FROM fd WHERE pos > 0", "files symbols occurrences edges contents")
 def context_budget(g):
-    return context.compile_context(_sparse(g), [FILE], 2, 8000)
+    return context.compile_context(_sparse(g), [FILE], 2, 8000).withColumn("priority", F.round("priority", 6))
 
 
 @query(f"SELECT s.id, name, kind, coalesce(bool_or(o.file_path <> '{FILE}'), false) AS is_exported, count(*) FILTER (o.file_path <> '{FILE}') AS n_call_sites, coalesce(array_to_string(list_sort(list(DISTINCT o.file_path) FILTER (regexp_matches(o.file_path, '{TEST_SQL}'))), ','), '') AS test_files FROM symbols s LEFT JOIN occurrences o ON o.symbol_id = s.id AND roles & 1 = 0 WHERE s.file_path = '{FILE}' GROUP BY s.id, name, kind", "symbols occurrences")
 def preflight_symbols(g):
-    return preflight.symbols(g, FILE).withColumn("test_files", F.array_join("test_files", ","))
+    return preflight.symbols(g, FILE).drop("signature").withColumn("test_files", F.array_join("test_files", ","))
 
 
 @query(f"+u AS (SELECT count(DISTINCT o.file_path) AS n FROM symbols s JOIN occurrences o ON o.symbol_id = s.id WHERE roles & 1 = 0 AND s.file_path = '{FILE}' AND o.file_path <> '{FILE}') SELECT n AS direct, n AS transitive, CASE WHEN n <= 2 THEN 'low' WHEN n <= 5 THEN 'medium' WHEN n <= 10 THEN 'high' ELSE 'critical' END AS risk FROM u", "symbols occurrences")
@@ -444,7 +470,7 @@ def token_estimate_and_hash(spark, sf_dir):
 SECRETS = "'AKIA' || upper(substr(HASH, 1, 16)) || ' ghp_' || substr(HASH, 1, 20) || ' postgres://u:p@h/' || doc_id || ' Bearer ' || HASH || ' API_TOKEN=' || HASH || ' ' || substr(text, 1, 200)"
 
 
-@query("SELECT doc_id, " + "".join(f"regexp_replace(" for _ in redaction.RULES) + SECRETS.replace("HASH", "sha256(text)") + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', '{r.replace('$1', chr(92) + '1')}', 'g')" for p, r in redaction.RULES) + " AS text FROM documents", raw=True)
+@query("SELECT doc_id, " + "".join(f"regexp_replace(" for _ in fixed.SECRETS) + SECRETS.replace("HASH", "sha256(text)") + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', '{r.replace('$1', chr(92) + '1')}', 'g')" for p, r in fixed.SECRETS) + " AS text FROM documents", raw=True)
 def redact(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", redaction.redact(F.expr(SECRETS.replace("HASH", "sha2(text, 256)"))).alias("text"))
 

@@ -98,6 +98,7 @@ def oracle_tables(*names: str) -> str:
     """The same tables as DuckDB common table expressions."""
     out = []
     for name in names:
-        text = DERIVED[name].replace("% N)", "% (SELECT count(*) FROM supplier))").replace("% N ", "% (SELECT count(*) FROM supplier) ").replace("SHA(s_name)", "sha256(s_name)").replace("MILLIS(", "epoch_ms(")
+        text = DERIVED[name].replace("% N)", "% (SELECT count(*) FROM supplier))").replace("% N ", "% (SELECT count(*) FROM supplier) ").replace("SHA(s_name)", "sha256(s_name)")
+        text = re.sub(r"MILLIS\((\w+)\)", r"(epoch_us(\1) // 1000)", text)
         out.append(f"{name} AS MATERIALIZED ({text})")
     return ",\n".join(out)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.paths import basename
 
-TOP_KEYS = ("name", "version", "main", "module", "types", "bin")
-
 
 def _key_line(content: Column, key: Column) -> Column:
     """First line with `key:`, quoted or not; else 0."""
@@ -41,7 +40,7 @@ def package_symbols(df: DataFrame) -> DataFrame:
     ok = df.where(F.is_valid_utf8("content") & F.try_parse_json("content").isNotNull())
     scripts = _keyed(ok, F.json_object_keys(F.get_json_object("content", "$.scripts")), "script", "config_key")
     own = F.json_object_keys("content")
-    return scripts.unionByName(_keyed(ok, F.filter(F.array(*map(F.lit, TOP_KEYS)), lambda k: F.array_contains(own, k)), "pkg", "config_key"))
+    return scripts.unionByName(_keyed(ok, F.filter(F.array(*map(F.lit, fixed.PACKAGE_KEYS)), lambda k: F.array_contains(own, k)), "pkg", "config_key"))
 
 
 def tsconfig_symbols(df: DataFrame) -> DataFrame:
@@ -49,22 +48,19 @@ def tsconfig_symbols(df: DataFrame) -> DataFrame:
     return _keyed(ok, F.json_object_keys(F.get_json_object("content", "$.compilerOptions")), "tsconfig", "config_key")
 
 
-_NAME, _IF_NOT = r"[\"`]?(\w+)[\"`]?", r"(?:IF\s+NOT\s+EXISTS\s+)?"
-
-
 def sql_symbols(df: DataFrame) -> DataFrame:
     """First match of each statement in a line."""
     rows = _lines(df)
-    out = _found(rows, rf"(?i)CREATE\s+TABLE\s+{_IF_NOT}{_NAME}", "table", "table")
-    out = out.unionByName(_found(rows, rf"(?i)ALTER\s+TABLE\s+{_NAME}", "table", "table"))
-    return out.unionByName(_found(rows, rf"(?i)CREATE\s+(?:UNIQUE\s+)?INDEX\s+{_IF_NOT}{_NAME}", "index", "index"))
+    out = _found(rows, fixed.CREATE_TABLE, "table", "table")
+    out = out.unionByName(_found(rows, fixed.ALTER_TABLE, "table", "table"))
+    return out.unionByName(_found(rows, fixed.CREATE_INDEX, "index", "index"))
 
 
 def yaml_keys(df: DataFrame) -> DataFrame:
     """(path, level, top, second, name): keys at indents of 0, 2 and 4, each under the last key above it."""
     w = Window.partitionBy("path").orderBy("line")
     key = lambda p: F.nullif(F.regexp_extract("raw", p, 1), F.lit(""))
-    rows = _lines(df).withColumns({"k1": key(r"^([A-Za-z_]\w*):"), "k2": key(r"^  ([A-Za-z_/]\S*):"), "k3": key(r"^    ([A-Za-z_]\w*):")})
+    rows = _lines(df).withColumns({"k1": key(fixed.YAML_TOP), "k2": key(fixed.YAML_SECOND), "k3": key(fixed.YAML_THIRD)})
     rows = rows.withColumn("top", F.last("k1", True).over(w)).where("top IS NOT NULL")
     run = F.sum(F.col("k1").isNotNull().cast("int")).over(w)
     rows = rows.withColumn("run", run).withColumn("second", F.last("k2", True).over(Window.partitionBy("path", "run").orderBy("line")))
@@ -92,12 +88,6 @@ def extract(files: DataFrame) -> DataFrame:
     return out.unionByName(openapi_symbols(files.where(n.rlike(r"^(openapi|swagger)\.(json|ya?ml)$"))))
 
 
-_K = "[\"'](\\w+)[\"']"
-#: Ways to read an environment variable, in eight languages; the name is group 1.
-ENV_USES = [r"(?:process|import\.meta)\.env\.(\w+)", rf"process\.env\[{_K}\]", rf"os\.environ(?:\[|\.get\(){_K}", rf"os\.(?:getenv|Getenv|LookupEnv)\({_K}", rf"env(?:::var|!)\({_K}\)", rf"(?:System\.getenv|sys\.env)\({_K}\)", rf"Environment\.GetEnvironmentVariable\({_K}\)", rf"ENV(?:\[|\.fetch\(){_K}"]
-TABLE_USE = r"(?i)(?:DELETE\s+FROM|FROM|JOIN|INTO|UPDATE|TABLE)\s+[\"`]?(\w+)[\"`]?\b"
-
-
 def config_references(code: DataFrame, symbols: DataFrame) -> DataFrame:
     """config_ref edges from code(path, content) to env variables and tables.
 
@@ -106,6 +96,6 @@ def config_references(code: DataFrame, symbols: DataFrame) -> DataFrame:
     def names(patterns):
         return F.array_distinct(F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns]))
 
-    env = code.select("path", F.explode(names(ENV_USES)).alias("name")).join(symbols.where("kind = 'env_var'").select("name", "id").distinct(), "name").withColumn("confidence", F.lit("high"))
-    tab = code.select("path", F.explode(F.transform(names([TABLE_USE]), F.lower)).alias("k")).join(symbols.where("kind = 'table'").select(F.lower("name").alias("k"), "id").distinct(), "k").withColumn("confidence", F.lit("approximate"))
+    env = code.select("path", F.explode(names(fixed.ENV_USES)).alias("name")).join(symbols.where("kind = 'env_var'").select("name", "id").distinct(), "name").withColumn("confidence", F.lit("high"))
+    tab = code.select("path", F.explode(F.transform(names(fixed.TABLE_USES), F.lower)).alias("k")).join(symbols.where("kind = 'table'").select(F.lower("name").alias("k"), "id").distinct(), "k").withColumn("confidence", F.lit("approximate"))
     return env.select("path", "id", "confidence").unionByName(tab.select("path", "id", "confidence")).distinct().select(F.col("path").alias("source"), F.col("id").alias("target"), F.lit("config_ref").alias("kind"), "confidence")

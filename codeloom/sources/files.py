@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import LANGUAGES, basename, content_hash, extension, language_of
+from ..functions import fixed
+from ..functions.paths import basename, content_hash, extension, language_of
 
-SKIPPED = r"(^|/)(node_modules|dist|\.[^/]+)/"
-ARTIFACT = r"(^|/)(package\.json|tsconfig\.json|\.env[^/]*|openapi\.[^/]+|[^/]*\.(sql|yaml|yml))$"
+_or = lambda names: "|".join(re.escape(n) for n in names)
+SKIPPED = rf"(^|/)({_or(fixed.SKIPPED_FOLDERS)}|\.[^/]+)/"
+NO_PROJECT = rf"(^|/)({_or(fixed.NO_PROJECT_FOLDERS)}|\.[^/]+)/"
+ARTIFACT = rf"(^|/)(({_or(fixed.ARTIFACT_NAMES)})|({_or(fixed.ARTIFACT_STARTS)})[^/]*|[^/]+({_or(fixed.ARTIFACT_EXTENSIONS)}))$"
 
 
 def _listing(spark: SparkSession, root: str) -> DataFrame:
@@ -20,11 +25,11 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def is_indexed(p: Column) -> Column:
-    return extension(p).isin(*LANGUAGES) & ~p.rlike(SKIPPED)
+    return extension(p).isin(*fixed.LANGUAGES) & ~p.rlike(SKIPPED)
 
 
 def is_artifact(p: Column) -> Column:
-    return p.rlike(ARTIFACT) & ~p.rlike(r"(^|/)(node_modules|dist|\.git)/")
+    return p.rlike(ARTIFACT) & ~p.rlike(SKIPPED)
 
 
 def source_files(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
@@ -52,8 +57,6 @@ def json_config(texts: DataFrame, schema: str) -> DataFrame:
 BOUNDARIES = "layers map<string, struct<path: string, canImport: array<string>>>"
 POLICIES = "policies struct<max_public_api_growth: int, deny_new_cycles: boolean, max_coupling_increase: double, require_tests_for_changed_exports: boolean>"
 
-MARKERS = {"typescript": ("tsconfig.json", "package.json"), "python": ("pyproject.toml", "setup.py", "requirements.txt"), "go": ("go.mod",), "rust": ("Cargo.toml",), "java": ("pom.xml", "build.gradle", "build.gradle.kts"), "scala": ("build.sbt",), "csharp": ("*.csproj", "*.sln"), "ruby": ("Gemfile",)}
-
 
 def _glob(pattern: Column) -> Column:
     """A workspace pattern as a regular expression."""
@@ -64,13 +67,13 @@ def _glob(pattern: Column) -> Column:
 def detect_projects(listing: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """(project_id, root, language) from listing(path) and manifest(content), the root package.json.
 
-    Workspace folders with a marker count if there are workspaces; else the root if it has one;
-    else folders one level down.
+    If the manifest names workspaces and such folders have a marker or a manifest, the projects are
+    those in them; else the root if it has a marker; else folders one level down.
     """
     at = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("."))
-    rows = listing.where(~F.col("path").rlike(SKIPPED)).select(at.alias("root"), basename(F.col("path")).alias("name"))
+    rows = listing.where(~F.col("path").rlike(NO_PROJECT)).select(at.alias("root"), basename(F.col("path")).alias("name"))
     found = None
-    for language, names in MARKERS.items():
+    for language, names in fixed.PROJECT_MARKERS.items():
         hit = F.lit(False)
         for n in names:
             hit = hit | (F.col("name").endswith(n[1:]) if n.startswith("*") else F.col("name") == n)
@@ -80,8 +83,10 @@ def detect_projects(listing: DataFrame, manifest: DataFrame | None = None) -> Da
     if manifest is not None:
         packages = manifest.select(F.from_json("content", "workspaces string").alias("w")).select("w.workspaces").where("workspaces IS NOT NULL")
         globs = packages.select(F.explode(F.coalesce(F.from_json("workspaces", "array<string>"), F.from_json("workspaces", "packages array<string>")["packages"])).alias("g")).select(_glob(F.col("g")).alias("g"))
-        inside = found.join(F.broadcast(globs), F.expr("root RLIKE g"), "left_semi")  # one manifest's patterns
-        if not inside.isEmpty():
+        folders = found.select("root").unionByName(rows.where("name = 'package.json'").select("root")).distinct()
+        named = folders.join(F.broadcast(globs), F.expr("root RLIKE g"), "left_semi")  # one manifest's patterns
+        if not named.isEmpty():
+            inside = found.join(named, "root", "left_semi")
             return inside.select(F.col("root").alias("project_id"), "root", "language")
     top = found.where("root = '.'")
     chosen = found.where("NOT contains(root, '/') AND root <> '.'") if top.isEmpty() else top

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEST_RUNNERS = r"(?i)\b(npm (run )?test|npx (vitest|jest)|vitest|jest|pytest|bun test|yarn test|pnpm test|go test|cargo test)\b"
+from ..functions import fixed
 
 
 def is_test_run(command: Column) -> Column:
-    return command.rlike(TEST_RUNNERS)
+    return command.rlike(fixed.TEST_RUNNERS)
 
 
 def test_runs(commands: DataFrame) -> DataFrame:
