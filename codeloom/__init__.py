@@ -1 +1,11 @@
-"""Code-graph analytics on Spark DataFrames."""
+"""Code-graph analytics on Spark.
+
+Functions sent to Python workers are pickled by value, so that executors need
+no copy of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -90,5 +90,5 @@ def round3(x: Column) -> Column:
 
 
 def snippet(content: Column, line: Column, n: int = 3) -> Column:
-    """Up to n lines from a 0-based line; null without content."""
-    return F.array_join(F.slice(F.split(content, "\n"), F.greatest(line, F.lit(0)) + 1, n), "\n")
+    """Up to n lines from a 0-based line; null without content or line."""
+    return F.when(line.isNotNull(), F.array_join(F.slice(F.split(content, "\n"), F.greatest(line, F.lit(0)) + 1, n), "\n"))

@@ -11,14 +11,17 @@ from ..functions import compilers, fixed, redaction, symbols as S
 from ..functions.imports import extract_imports, resolve
 from ..functions.paths import TEST_FILE, content_hash, is_test, normalize, stem, test_command, token_estimate
 from ..operators import changes, context, impact, lookup, metrics, modules, preflight, prefix, traverse, verify
-from ..sources import artifacts
+from .. import schemas
+from ..sources import artifacts, files
+from ..streaming import feeds
 from . import samples
-from .graph import Graph, derived, oracle_tables
+from .graph import Graph, derived, graph_of, oracle_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 FILE, SYMBOL, SCOPE = "src/n5/s5.ts", "sym:7", "src/n1"
-CHANGED = ["src/n5/s5.ts", "src/n1/s1.py"]
+CHANGED = ["src/n5/s5.ts", "src/n1/s1.py", "src/n0/s0.ts"]
+CALLED = "sym:982"
 TEST_SQL = TEST_FILE.replace("'", "''")
 
 
@@ -43,7 +46,7 @@ def _paths(g: Graph, paths=CHANGED) -> DataFrame:
     return impact.path_rows(g.files.sparkSession, list(paths))
 
 
-CH = "ch(node) AS (VALUES ('src/n5/s5.ts'), ('src/n1/s1.py'))"
+CH = "ch(node) AS (VALUES ('src/n5/s5.ts'), ('src/n1/s1.py'), ('src/n0/s0.ts'))"
 STEM = r"regexp_replace({0}, '\.[^.]+$', '')"
 
 # --- lookups -------------------------------------------------------------------
@@ -54,7 +57,7 @@ def file_lookup(g):
     return lookup.by_key(g.files, "path", FILE)
 
 
-@query(f"SELECT * FROM files WHERE path IN ('{FILE}', 'src/n1/s1.py', 'none')", "files")
+@query(f"SELECT * FROM files WHERE path IN ('{FILE}', 'src/n1/s1.py', 'src/n0/s0.ts', 'none')", "files")
 def files_batch(g):
     return lookup.batch(g.files, "path", [*CHANGED, "none"])
 
@@ -272,14 +275,14 @@ def cycle_summary(g):
 CALLS = "r(id, depth) AS (SELECT DISTINCT {b}, 1 FROM edges WHERE kind = 'calls' AND {a} = '{s}' UNION SELECT e.{b}, r.depth + 1 FROM r JOIN edges e ON e.{a} = r.id AND e.kind = 'calls' WHERE r.depth < 2) SELECT '{d}' AS direction, id, name, file_path, min(depth)::INT AS depth FROM r JOIN symbols USING (id) GROUP BY ALL"
 
 
-@query("+" + CALLS.format(a="target", b="source", d="caller", s=SYMBOL).replace("GROUP BY ALL", "GROUP BY id, name, file_path"), "symbols edges")
+@query("+" + CALLS.format(a="target", b="source", d="caller", s=CALLED).replace("GROUP BY ALL", "GROUP BY id, name, file_path"), "symbols edges")
 def call_graph_callers_d2(g):
-    return traverse.call_graph(g, SYMBOL, 2).where("direction = 'caller'").drop("kind")
+    return traverse.call_graph(g, CALLED, 2).where("direction = 'caller'").drop("kind")
 
 
-@query("+" + CALLS.format(a="source", b="target", d="callee", s=SYMBOL).replace("GROUP BY ALL", "GROUP BY id, name, file_path"), "symbols edges")
+@query("+" + CALLS.format(a="source", b="target", d="callee", s=CALLED).replace("GROUP BY ALL", "GROUP BY id, name, file_path"), "symbols edges")
 def call_graph_callees_d2(g):
-    return traverse.call_graph(g, SYMBOL, 2).where("direction = 'callee'").drop("kind")
+    return traverse.call_graph(g, CALLED, 2).where("direction = 'callee'").drop("kind")
 
 
 @query(f"+{CH} SELECT s.id, s.kind, s.name, o.file_path AS def_path FROM occurrences o JOIN symbols s ON s.id = o.symbol_id WHERE roles & 1 = 1 AND o.file_path IN (SELECT node FROM ch)", "symbols occurrences")
@@ -350,6 +353,25 @@ def transitive_risk(g):
     return impact.transitive(_sparse(g), CHANGED, 3)["risk"]
 
 
+@query(f"+{FULL} SELECT path, CASE WHEN depth <= 1 THEN 'direct' ELSE 'transitive' END AS relevance FROM af WHERE regexp_matches(path, '{TEST_SQL}') UNION ALL SELECT node, 'direct' FROM ch WHERE regexp_matches(node, '{TEST_SQL}')", "files occurrences edges")
+def transitive_tests(g):
+    return impact.transitive(_sparse(g), CHANGED, 3)["tests"]
+
+
+CALLING = f"{CH}, dc AS (SELECT DISTINCT file_path AS a, symbol_id FROM occurrences WHERE roles & 1 = 1), nx AS (SELECT a, o.file_path AS b FROM dc JOIN occurrences o USING (symbol_id) WHERE roles & 1 = 1 UNION SELECT a, s.file_path FROM dc JOIN edges e ON e.target = dc.symbol_id AND e.kind = 'calls' JOIN symbols s ON s.id = e.source UNION SELECT p.path, e.source FROM (SELECT path FROM files UNION SELECT file_path FROM symbols) p JOIN edges e ON e.target IN (p.path, {STEM.format('p.path')})), bf(path, depth) AS (SELECT node, 0 FROM ch UNION SELECT b, depth + 1 FROM bf JOIN nx ON a = path WHERE depth < 2)"
+
+
+@query(f"+{CALLING} SELECT path, min(depth)::INT AS depth FROM bf GROUP BY path HAVING min(depth) > 0", "files symbols occurrences edges")
+def transitive_callers(g):
+    only = g.having(occurrences=g.occurrences.where("roles & 1 = 1"))
+    return impact.affected(only, _paths(g), 2, True).select("path", "depth")
+
+
+@query(f"+{CH}, i AS (SELECT DISTINCT symbol_id FROM occurrences WHERE roles & 1 = 1 AND file_path IN (SELECT node FROM ch)) SELECT id, name, kind, doc, coalesce((range_start >> 16)::INT, 0) AS start_line, coalesce((range_end >> 16)::INT, 0) AS end_line FROM symbols WHERE id IN (SELECT symbol_id FROM i)", "symbols occurrences")
+def impact_symbol_details(g):
+    return impact.symbol_details(g, _paths(g)).select("id", "name", "kind", "doc", "start_line", "end_line")
+
+
 # --- snapshots and checks --------------------------------------------------------------
 
 
@@ -454,6 +476,52 @@ def preflight_checklist(g):
     return preflight.checklist(g, FILE, True).where("no = 1").select("name", "text")
 
 
+@query(f"+{SPARSE} SELECT symbol_id, oc.file_path AS file, (oc.range_start >> 16)::INT AS line FROM oc JOIN symbols s ON s.id = symbol_id WHERE roles & 1 = 0 AND s.file_path = 'src/n0/s0.ts' AND oc.file_path <> 'src/n0/s0.ts'", "symbols occurrences")
+def preflight_call_sites(g):
+    return preflight.call_sites(_sparse(g), "src/n0/s0.ts").select("symbol_id", "file", "line")
+
+
+@query(f"+{LAYERS} SELECT a.layer, array_to_string(any_value(can), ',') AS can_import, coalesce(array_to_string(list_sort(list(DISTINCT e.target)), ','), '') AS broken FROM (SELECT 'two' AS layer) a JOIN ly USING (layer) LEFT JOIN (SELECT target, 'two' AS layer FROM edges JOIN lp b ON b.path = target WHERE kind = 'imports' AND source = 'src/n2/s52.go' AND b.layer <> 'two') e USING (layer) GROUP BY 1", "edges")
+def preflight_boundary(g):
+    return preflight.boundary(g, "src/n2/s52.go", _layers(g)).withColumns({c: F.array_join(c, ",") for c in ("can_import", "broken")})
+
+
+@query(f"+{CONTEXT}, {BUDGET} SELECT count(*) AS files, max(total)::BIGINT AS tokens, bool_or(mode = 'signatures') AS truncated, count(DISTINCT string_split(path, '/')[1] || '/' || string_split(path, '/')[2]) AS packages, count(*) FILTER (regexp_matches(path, '{TEST_SQL}')) AS tests FROM fd WHERE pos > 0", "files symbols occurrences edges contents")
+def context_summary(g):
+    return context.summary(context.compile_context(_sparse(g), [FILE], 2, 8000))
+
+
+# --- feeds ------------------------------------------------------------------------------
+
+
+@query("SELECT CASE WHEN count(*) >= 5 THEN true ELSE false END AS due, count(*) AS n_dirty FROM dirty", "dirty")
+def reindex_due(g):
+    return feeds.reindex_due(g.dirty)
+
+
+@query("SELECT id, event, data FROM ledger UNION ALL SELECT (SELECT max(id) FROM ledger) + row_number() OVER (ORDER BY timestamp, event, data, id), 'again', data FROM ledger WHERE event = 'edit'", "ledger")
+def ledger_append(g):
+    # the data of equal times are equal here or told apart by the order
+    return changes.log_events(g.ledger, g.ledger.where("event = 'edit'").select("timestamp", F.lit("again").alias("event"), "data")).select("id", "event", "data")
+
+
+@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS edits FROM events WHERE event_type = 'click' GROUP BY 1", raw=True)
+def stream_recent_edits(spark, sf_dir):
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    edits = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "click", "edit").otherwise(F.col("event_type")).alias("event"))
+    out = feeds.drain(feeds.recent_edits(edits))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "edits")
+
+
+@query("SELECT user_id, max(event_id) FILTER (event_type = 'click') AS last_edit, max(event_id) FILTER (event_type = 'purchase') AS last_test, max(event_id) FILTER (event_type = 'click') IS NULL OR coalesce(max(event_id) FILTER (event_type = 'purchase') > max(event_id) FILTER (event_type = 'click'), false) AS tested FROM events GROUP BY 1", raw=True)
+def stream_test_gate(spark, sf_dir):
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    named = F.when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "purchase", "test_run").otherwise(F.col("event_type"))
+    return feeds.drain(feeds.test_gate(rows.select("user_id", F.col("event_id").alias("id"), named.alias("event")), "user_id"))
+
+
 # --- text -------------------------------------------------------------------------------
 
 
@@ -523,3 +591,42 @@ def path_normalize(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", normalize(F.concat(F.lit("./a/b/.././"), (k % 7).cast("string"), F.lit("//x/../c"))).alias("path"))
 
 
+@query(samples.go_sql(), raw=True)
+def go_vet_parse(spark, sf_dir):
+    return compilers.go_vet(_corpus(spark, [(0, samples.GO)], "log_id int, output string")).select("file", "line", "col", "code")
+
+
+@query(samples.cargo_sql(), raw=True)
+def cargo_parse(spark, sf_dir):
+    return compilers.cargo(_corpus(spark, [(0, samples.CARGO)], "log_id int, output string")).select("file", "line", "col", "code")
+
+
+@query(samples.generic_sql(), raw=True)
+def generic_parse(spark, sf_dir):
+    return compilers.generic(_corpus(spark, [(0, samples.GENERIC)], "log_id int, output string")).select("file", "line", "col")
+
+
+@query(samples.projects_sql(), raw=True)
+def detect_projects(spark, sf_dir):
+    listing = _corpus(spark, [(p,) for p in samples.LISTING], "path string")
+    return files.detect_projects(listing, _corpus(spark, [(samples.MANIFEST,)], "content string"))
+
+
+@query(samples.ingest_sql(), raw=True)
+def index_ingest(spark, sf_dir):
+    docs = spark.createDataFrame(samples.INDEX, schemas.SCIP_DOCS)
+    return changes.ingest(graph_of(spark), docs, 1).edges
+
+
+@query(samples.update_sql(), raw=True)
+def structural_update(spark, sf_dir):
+    walked = _corpus(spark, samples.CODE, "path string, language string, content string").withColumn("hash", content_hash(F.col("content")))
+    stored = walked.where("path < 'c'").select("path", "language", "hash", F.lit(1).cast("bigint").alias("indexed_at"))
+    return changes.update(graph_of(spark, files=stored), walked, 2).edges.where("kind = 'imports'").groupBy("source").agg(F.count("*").alias("imports"))
+
+
+@query("SELECT l_returnflag AS file, count(*) AS errors FROM lineitem WHERE l_quantity > 49 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", raw=True)
+def worst_files(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 49")
+    issues = rows.select(F.lit("typecheck").alias("check"), F.lit("TYPE_ERROR").alias("type"), F.col("l_returnflag").alias("subject"), F.lit("x").alias("message"))
+    return verify.worst_files(issues).withColumnRenamed("subject", "file")

@@ -98,3 +98,52 @@ TSC = "/repo/src/a.ts(3,7): error TS2345: Argument of type 'Foo' is not assignab
 
 def tsc_sql() -> str:
     return values([("src/a.ts", 3, 7, "TS2345"), ("b.ts", 10, 1, "TS2304"), ("", 0, 0, "")], "file", "line", "col", "code")
+
+
+GO = "# pkg\n./main.go:10:5: undefined: x\n/a/b.go:3:1: bad call\nnoise\n"
+CARGO = "error[E0308]: mismatched types\n  --> src/main.rs:10:5\n --> src/lib.rs:2:1\nerror[E0001]: lost\nerror[E0002]: other\n  --> src/x.rs:7:9\n"
+GENERIC = "A.java:10: error: missing\nsrc/B.cs(4,7): error CS1002: ; expected\n[warn] C.scala:3: nothing\nD.txt:1: error: no\n"
+
+
+def go_sql() -> str:
+    return values([("main.go", 10, 5, "GO_VET"), ("a/b.go", 3, 1, "GO_VET")], "file", "line", "col", "code")
+
+
+def cargo_sql() -> str:
+    return values([("src/main.rs", 10, 5, "E0308"), ("src/lib.rs", 2, 1, ""), ("src/x.rs", 7, 9, "E0002")], "file", "line", "col", "code")
+
+
+def generic_sql() -> str:
+    return values([("A.java", 10, 0), ("src/B.cs", 4, 7)], "file", "line", "col")
+
+
+LISTING = ["package.json", "packages/a/tsconfig.json", "packages/a/pyproject.toml", "packages/b/go.mod", "packages/c/readme.md", "tools/Cargo.toml", "packages/a/node_modules/x/tsconfig.json", "apps/web/App.csproj", "packages/d/deep/pom.xml"]
+MANIFEST = "{\"workspaces\": [\"packages/*\", \"apps/web\"]}"
+
+
+def projects_sql() -> str:
+    rows = [("packages/a", "typescript"), ("packages/a", "python"), ("packages/b", "go"), ("apps/web", "csharp")]
+    return values([(r, r, x) for r, x in rows], "project_id", "root", "language")
+
+
+def _occ(symbol: str, at: list[int], roles: int = 0) -> dict:
+    return {"symbol": symbol, "range": at, "symbol_roles": roles}
+
+
+def _sym(symbol: str, kind: int = 0) -> dict:
+    return {"symbol": symbol, "kind": kind, "display_name": "", "documentation": []}
+
+
+INDEX = [
+    {"relative_path": "./a.ts", "language": "TypeScript", "symbols": [_sym("p a/foo().", 17), _sym("p a/Bar#")], "occurrences": [_occ("p a/foo().", [0, 0, 10, 0], 1), _occ("p a/Bar#", [12, 0, 5], 1), _occ("p b/baz().", [5, 4, 7]), _occ("p a/foo().", [6, 0, 3]), _occ("local 1", [1, 0, 2]), _occ("", [1, 0, 2])]},
+    {"relative_path": "b.ts", "language": "", "symbols": [_sym("p b/baz().")], "occurrences": [_occ("p b/baz().", [0, 0, 3, 0], 1), _occ("p a/Bar#", [9, 0, 3])]},
+]
+
+
+def ingest_sql() -> str:
+    rows = [("a.ts", "p a/foo().", "defines", "high"), ("a.ts", "p a/Bar#", "defines", "high"), ("a.ts", "p b/baz().", "references", "high"), ("a.ts", "p a/foo().", "references", "high"), ("b.ts", "p b/baz().", "defines", "high"), ("b.ts", "p a/Bar#", "references", "high"), ("p a/foo().", "p b/baz().", "calls", "approximate")]
+    return values(rows, "source", "target", "kind", "confidence")
+
+
+def update_sql() -> str:
+    return values([(p, len(rows)) for p, rows in IMPORTS.items() if p >= "c"], "source", "imports")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.paths import basename, content_hash, extension, language_of
+from . import stores
 
 _or = lambda names: "|".join(re.escape(n) for n in names)
 SKIPPED = rf"(^|/)({_or(fixed.SKIPPED_FOLDERS)}|\.[^/]+)/"
@@ -16,14 +17,6 @@ NO_PROJECT = rf"(^|/)({_or(fixed.NO_PROJECT_FOLDERS)}|\.[^/]+)/"
 ARTIFACT = rf"(^|/)(({_or(fixed.ARTIFACT_NAMES)})|({_or(fixed.ARTIFACT_STARTS)})[^/]*|[^/]+({_or(fixed.ARTIFACT_EXTENSIONS)}))$"
 
 
-def _listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all files below root, with paths relative to it; vanished files are skipped."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
-    bare = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    where = F.regexp_replace("path", "^file:/*", "/") if "://" not in root or root.startswith("file:") else F.regexp_replace("path", "^[a-z0-9]+://", "")
-    return df.select(F.substr(where, F.lit(len(bare) + 1)).alias("path"), "content")
-
-
 def is_indexed(p: Column) -> Column:
     return extension(p).isin(*fixed.LANGUAGES) & ~p.rlike(SKIPPED)
 
@@ -32,16 +25,21 @@ def is_artifact(p: Column) -> Column:
     return p.rlike(ARTIFACT) & ~p.rlike(SKIPPED)
 
 
+def _relative(root: str, path: str) -> str:
+    return path.removeprefix(root.rstrip("/") + "/").removeprefix("./")
+
+
 def source_files(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
-    """(path, language, hash, content) of source files below root, or of those in `only` that exist."""
-    df = _listing(spark, root).where(is_indexed(F.col("path")))
-    df = df if only is None else df.where(F.col("path").isin([p.removeprefix(root.rstrip("/") + "/").removeprefix("./") for p in only]))
+    """(path, language, hash, content) of source files below root, or of those in `only` that exist; paths are relative to root."""
+    paths = stores.walk(spark, root, fixed.SKIPPED_FOLDERS) if only is None else spark.createDataFrame([(_relative(root, p),) for p in dict.fromkeys(only)], "path string")
+    df = stores.read(paths.where(is_indexed(F.col("path"))), root)
     return df.select("path", language_of(F.col("path")).alias("language"), content_hash(F.col("content")).alias("hash"), F.decode("content", "UTF-8").alias("content"))
 
 
 def artifact_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of configuration files."""
-    return _listing(spark, root).where(is_artifact(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("content"))
+    paths = stores.walk(spark, root, fixed.SKIPPED_FOLDERS).where(is_artifact(F.col("path")))
+    return stores.read(paths, root).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def changed_paths(spark: SparkSession, diff_text: str) -> DataFrame:

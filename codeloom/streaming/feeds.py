@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..runtime import work_dir
 
 
 def is_test_run(command: Column) -> Column:
@@ -48,3 +50,16 @@ def apply_edits(edits: DataFrame, load, save, checkpoint: str, **trigger):
 def reindex_due(dirty: DataFrame, threshold: int = 5) -> DataFrame:
     """One row: whether as many files are dirty as start an index run."""
     return dirty.agg((F.count("*") >= threshold).alias("due"), F.count("*").alias("n_dirty"))
+
+
+def drain(rows: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a streaming aggregate holds once its source is read up; batches go to the shared folder."""
+    spark, folder = rows.sparkSession, work_dir(rows.sparkSession, "stream")
+    rows.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/{n}")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    last = 0
+    while True:  # batches are numbered from 0; complete mode repeats the whole in the last one
+        try:
+            out = spark.read.schema(rows.schema).parquet(f"{folder}/out/{last}")
+        except AnalysisException:
+            return spark.createDataFrame([], rows.schema) if not last else out
+        last += 1
