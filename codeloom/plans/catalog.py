@@ -277,12 +277,12 @@ CALLS = "r(id, depth) AS (SELECT DISTINCT {b}, 1 FROM edges WHERE kind = 'calls'
 
 @query("+" + CALLS.format(a="target", b="source", d="caller", s=CALLED).replace("GROUP BY ALL", "GROUP BY id, name, file_path"), "symbols edges")
 def call_graph_callers_d2(g):
-    return traverse.call_graph(g, CALLED, 2).where("direction = 'caller'").drop("kind")
+    return traverse.call_graph(g.stored("edges"), CALLED, 2).where("direction = 'caller'").drop("kind")
 
 
 @query("+" + CALLS.format(a="source", b="target", d="callee", s=CALLED).replace("GROUP BY ALL", "GROUP BY id, name, file_path"), "symbols edges")
 def call_graph_callees_d2(g):
-    return traverse.call_graph(g, CALLED, 2).where("direction = 'callee'").drop("kind")
+    return traverse.call_graph(g.stored("edges"), CALLED, 2).where("direction = 'callee'").drop("kind")
 
 
 @query(f"+{CH} SELECT s.id, s.kind, s.name, o.file_path AS def_path FROM occurrences o JOIN symbols s ON s.id = o.symbol_id WHERE roles & 1 = 1 AND o.file_path IN (SELECT node FROM ch)", "symbols occurrences")
@@ -314,7 +314,8 @@ BFS = f"{CH}, bf(path, depth) AS (SELECT node, 0 FROM ch UNION SELECT e.source,
 
 def _sparse(g: Graph) -> Graph:
     """References to every 40th symbol only, so that searches have several levels."""
-    return g.having(occurrences=g.occurrences.where("roles & 1 = 1 OR CAST(substr(symbol_id, 5) AS BIGINT) % 40 = 0"))
+    few = g.occurrences.where("roles & 1 = 1 OR CAST(substr(symbol_id, 5) AS BIGINT) % 40 = 0")
+    return g.having(occurrences=few).stored("occurrences", "edges")
 
 
 SPARSE = "oc AS (SELECT * FROM occurrences WHERE roles & 1 = 1 OR substr(symbol_id, 5)::BIGINT % 40 = 0)"
@@ -323,7 +324,7 @@ FULL = f"{SPARSE}, {CH}, dp AS (SELECT DISTINCT d.file_path AS a, o.file_path AS
 
 @query(f"+{BFS} SELECT path, depth FROM af", "edges")
 def transitive_importers(g):
-    none = g.having(occurrences=g.occurrences.where("roles < 0"))
+    none = g.having(occurrences=g.occurrences.where("roles < 0")).stored("occurrences", "edges")
     return impact.affected(none, _paths(g)).select("path", "depth")
 
 
@@ -363,7 +364,7 @@ CALLING = f"{CH}, dc AS (SELECT DISTINCT file_path AS a, symbol_id FROM occurren
 
 @query(f"+{CALLING} SELECT path, min(depth)::INT AS depth FROM bf GROUP BY path HAVING min(depth) > 0", "files symbols occurrences edges")
 def transitive_callers(g):
-    only = g.having(occurrences=g.occurrences.where("roles & 1 = 1"))
+    only = g.having(occurrences=g.occurrences.where("roles & 1 = 1")).stored("occurrences", "edges")
     return impact.affected(only, _paths(g), 2, True).select("path", "depth")
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
+from ..runtime import cut
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,10 @@ class Graph:
     def having(self, **tables: DataFrame) -> Graph:
         return replace(self, **tables)
 
+    def stored(self, *names: str) -> Graph:
+        """The graph with some of its tables computed once, in the shared folder: for operators that read them at every level of a search."""
+        return self.having(**{n: cut(getattr(self, n)) for n in names})
+
 
 def graph_of(spark: SparkSession, **rows) -> Graph:
     """A graph from lists of tuples or DataFrames; what isn't given is empty."""
