@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, table
 
-WINDOW, PIECES, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
-MOST_LANGS, SPARE = 1000, 4
+WINDOW, PIECES, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
+MOST_LANGS, SPARE = 200, 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -63,7 +63,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Model:
+def fit(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 1500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Model:
     """Adam on cross-entropy; gradients of the pooled maxima go to the winning place only."""
     rnd = np.random.default_rng(seed)
     feats = len(WIDTHS) * FILTERS
@@ -107,7 +107,7 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, steps: int = 500, seed: int = 7) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, steps: int = 1500, seed: int = 7) -> Model | None:
     """A model from at most per_lang rows of each language; None if there are none."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # Only rows whose hash is below a bound that leaves about SPARE * per_lang of a language are dealt out and ordered.
@@ -118,12 +118,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     few = labelled.select("doc_id", "lang").where(F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5 <= share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct()
-    chosen = [r.doc_id for r in ids.collect()]  # per_lang * MOST_LANGS at most
-    if not chosen:
-        return None
     size = F.length("text")
     piece = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr("text", (F.floor(i * size / PIECES) + 1).cast("int"), F.lit(WINDOW)))
-    rows = labelled.where(F.col("doc_id").isin(chosen)).select("doc_id", "lang", piece.alias("p")).distinct().limit(2 * len(chosen)).collect()
+    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", piece.alias("p")).distinct().limit(2 * per_lang * MOST_LANGS).collect()  # ids and rows: per_lang for each of MOST_LANGS
     rows = sorted(rows, key=lambda r: (str(r.lang), str(r.doc_id), r.p))
     langs = sorted({r.lang for r in rows})
     xs, ys = [], []
@@ -192,10 +189,12 @@ def _labeller(model: Model | None):
     return label
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.35) -> DataFrame:
     """Rows of docs whose language is identified: not 'und', and with a score of `least` or more.
 
-    The text decides in the same pass, so that rows keep all their columns without a join.
+    `least` is low, as the scores of short and of mixed texts are: it is meant for texts that
+    no learned language explains. The text decides in the same pass, so that rows keep all
+    their columns without a join.
     """
     model = train(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
     place, names = docs.columns.index(text_col), docs.columns

@@ -15,7 +15,7 @@ from codeloom.llm.common import table, work_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is identified with a score of a half or more."""
+    """Keeps documents with a letter whose language is identified with a score of 0.35 or more."""
     return langid.keep_identified(docs)
 
 
