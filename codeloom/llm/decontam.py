@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import U64, chunks, joined, run_hashes, table, word_hashes
 
-SHINGLE, BLOCKS = 5, 8
+SHINGLE, BLOCKS, SPAN = 5, 8, 1 << 15
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
@@ -52,6 +52,16 @@ def _near(value: int, flips: int) -> list[int]:
     return [x for x in range(256) if (x ^ value).bit_count() <= flips]
 
 
+def _runs(starts: np.ndarray, gap: int):
+    """The sorted starts in pieces without a gap over `gap`, each over SPAN words at most, so that sums of a long text stay small."""
+    for run in np.split(starts, np.flatnonzero(np.diff(starts) > gap) + 1):
+        at = 0
+        while at < len(run):
+            end = int(np.searchsorted(run, run[at] + SPAN, "right"))
+            yield run[at:end]
+            at = end
+
+
 class Index:
     """The items of one block of the benchmark."""
 
@@ -119,8 +129,7 @@ class Index:
         starts = np.unique(np.concatenate([np.arange(max(low, p + width - n), min(p, high - n) + 1) for p in places]))
         seen: dict[int, list] = {}
         count = n - width + 1  # shingles in a window
-        # neighbouring starts share one running sum
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
+        for run in _runs(starts, n):  # neighbouring starts share one running sum
             a, z = int(run[0]), int(run[-1])
             total = np.zeros((z - a + count + 1, 64), np.int32)
             np.cumsum(_bits(grams[a : z + count]), axis=0, out=total[1:])

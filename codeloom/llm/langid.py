@@ -175,7 +175,7 @@ def _labeller(model: Model | None):
             return langs, scores
         counts = [max(1, -(-len(texts[k]) // WINDOW)) for k in own]
         w = np.concatenate([as_windows(texts[k]) for k in own])
-        p = np.concatenate([probabilities(w[i : i + 512]) for i in range(0, len(w), 512)])
+        p = np.concatenate([probabilities(w[i : i + 256]) for i in range(0, len(w), 256)])
         weight = np.full(len(w), float(WINDOW))
         ends = np.cumsum(counts)
         for e, k, n in zip(ends, own, counts):
