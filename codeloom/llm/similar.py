@@ -1,0 +1,209 @@
+"""Near-duplicates by exact similarity of word shingles, through prefix filtering.
+
+Two documents are linked if the Jaccard similarity of their sets of five-word
+shingles is `percent` or more; a class is a connected component of links.
+
+Candidates: all shingles stand in one order. Two sets of that similarity share a
+shingle among the first n - ceil(percent * n) + 1 of each, so a row for each of
+these finds every pair (Chaudhuri et al. 2006); sizes and the number of such
+shingles rule out pairs that can't reach it, and the sets settle the rest. Any order
+gives the same result; shingles that a sample of the documents repeats come last,
+so that common passages are seldom among the first.
+
+Sets (not documents) are linked, so a group of copies is one row. Pairs of a
+shingle with over `most` sets are taken in two rounds: stars first, then all
+pairs that the stars and the other shingles left in different components.
+Nothing is capped.
+
+Defined results: words are lower-cased (A-Z) and shorter texts are one shingle;
+wordless and null texts are one class; a class keeps its smallest id, and of an
+id with several texts one; null ids come last; rows that repeat id and text are
+one document; an empty table gives none; other columns are carried along.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import U64, chunks, connected_components, cut, joined, run_hashes, word_hashes
+
+SHINGLE, PERCENT, MOST, SAMPLE, FEW = 5, 80, 64, 8000, 1 << 20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def shingles(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    raw, begin = joined(texts)
+    start, _, words = word_hashes(LOWER[raw])
+    first = np.searchsorted(start, begin)
+    last = np.append(first[1:], len(words))
+    grams = run_hashes(words, shingle)
+    return [np.unique(grams[a : z - shingle + 1] if z - a >= shingle else run_hashes(words[a:z], z - a) if z > a else grams[:0]) for a, z in zip(first.tolist(), last.tolist())]
+
+
+def _name(grams: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
+
+
+def _sets(batches, shingle):
+    """Lists of (row key, id of the set, set) in pieces."""
+    for b in batches:
+        for keys, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), 1 << 18):
+            yield [(k, _name(g), g) for k, g in zip(keys, shingles(texts, shingle))]
+
+
+def _once(batches, shingle):
+    """Every set with words that a task meets, once."""
+    seen = set()
+    for piece in _sets(batches, shingle):
+        for _, name, grams in piece:
+            if len(grams) and name not in seen:
+                seen.add(name)
+                yield name, grams
+
+
+def _ints(*columns, names):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+
+def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that a sample repeats, how often); bounded by the sample. Only the order depends on it."""
+    share = max(1, rows.count() // SAMPLE)
+
+    def run(batches):
+        found = [g for _, g in _once(batches, shingle)]
+        if found:
+            g, n = np.unique(np.concatenate(found), return_counts=True)
+            yield _ints(g.view(np.int64), n, names=["g", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).mapInArrow(run, "g bigint, n bigint")
+    found = some.groupBy("g").agg(F.sum("n").alias("n")).where("n > 3").orderBy(F.desc("n"), "g").limit(1 << 18).toArrow()
+    g, n = found.column("g").to_numpy().view(U64), found.column("n").to_numpy()
+    at = np.argsort(g)
+    return g[at], n[at]
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in the order, of which two similar sets share one."""
+    rank = np.zeros(len(grams), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        rank = np.where(common[at] == grams, times[at], 0)
+    return grams[np.argsort(rank, kind="stable")[: len(grams) + 1 + (-percent * len(grams) // 100)]]
+
+
+def _pairs(groups: DataFrame, percent: int, stars: int | None = None) -> DataFrame:
+    """(a, b): pairs that may be similar, from members(id, n, first, root) of each shingle.
+
+    Two sets have at most as many shingles in common as their prefixes, and those behind
+    the longer rest; pairs for which that isn't enough are left out. Of over `stars`
+    members only spanning stars are given, untested.
+    """
+
+    def run(batches):
+        for b in batches:
+            for members in b.column(0):
+                m = members.values
+                ids, n, first, root = (m.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                at = np.lexsort((ids, n))
+                ids, n, rest, root = ids[at], n[at], (n - first)[at], root[at]
+                size = len(ids)
+                if stars is not None and size > stars:
+                    lead, a, z = 0, [], []
+                    for k in range(1, size):
+                        if 100 * n[lead] < percent * n[k]:
+                            lead = k
+                        a += [lead, k - 1]
+                        z += [k, k]
+                    a, z = ids[a], ids[z]
+                    a, z = a[a != z], z[a != z]
+                    yield _ints(np.minimum(a, z), np.maximum(a, z), np.full(len(a), -1), names=["a", "b", "need"])
+                    continue
+                out, held = [], 0
+                for k in range(size - 1):
+                    end = int(np.searchsorted(percent * n, 100 * n[k], "right"))
+                    z = np.arange(k + 1, max(end, k + 1))
+                    z = z[root[z] != root[k]]
+                    need = -(-percent * (n[z] + n[k]) // (100 + percent)) - np.maximum(rest[z], rest[k])
+                    out.append((np.minimum(ids[z], ids[k]), np.maximum(ids[z], ids[k]), np.maximum(need, 0)))
+                    held += len(z)
+                    if held > 1 << 16 or k == size - 2:
+                        yield _ints(*map(np.concatenate, zip(*out)), names=["a", "b", "need"])
+                        out, held = [], 0
+
+    rows = groups.select("members").mapInArrow(run, "a bigint, b bigint, need bigint")
+    shared = rows.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.min("need").alias("low"))
+    return shared.where("low < 0 OR shared >= need").select("a", "b")
+
+
+def links(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, most: int = MOST) -> DataFrame:
+    """(a, b): links between the ids of sets of rows(key, text) that connect what similar pairs connect."""
+    common, times = _common(rows, shingle)
+
+    def keys(batches):
+        names, sizes, found = [], [], []
+        for name, grams in _once(batches, shingle):
+            names.append(name)
+            sizes.append(len(grams))
+            found.append(prefix(grams, common, times, percent))
+            if len(names) == 128:
+                yield pack(names, sizes, found)
+                names, sizes, found = [], [], []
+        if names:
+            yield pack(names, sizes, found)
+
+    def pack(names, sizes, found):
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        return _ints(np.concatenate(found).view(np.int64), np.repeat(np.array(names, np.int64), many), np.repeat(np.array(sizes), many), np.repeat(many, many), names=["g", "id", "n", "first"])
+
+    first = rows.mapInArrow(keys, "g bigint, id bigint, n bigint, first bigint").repartition("g").dropDuplicates(["g", "id"])
+    members = F.collect_list(F.struct("id", "n", "first", F.col("id").alias("root"))).alias("members")
+    groups = cut(first.groupBy("g").agg(members).where("size(members) > 1"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        few = wanted.limit(FEW + 1).toArrow().column("id").to_numpy()
+        only = set(few.tolist()) if len(few) <= FEW else None  # tasks send these sets only
+
+        def sets(batches):
+            for name, grams in _once(batches, shingle):
+                if only is None or name in only:
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([grams.view(np.int64)], pa.list_(pa.int64()))], ["id", "grams"])
+
+        known = rows.mapInArrow(sets, "id bigint, grams array<bigint>")
+        known = cut((known if only is not None else known.join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
+        a, b = (known.select(F.col("id").alias(c), F.col("grams").alias(f"{c}s")) for c in "ab")
+        both, all_ = F.size(F.array_intersect("as", "bs")), F.size("as") + F.size("bs")
+        return cut(pairs.join(a, "a").join(b, "b").where((100 + percent) * both >= percent * all_).select("a", "b"))
+
+    found = similar(_pairs(groups, percent, most))
+    if groups.where(F.size("members") > most).limit(1).count():
+        roots = connected_components(found).withColumnRenamed("node", "id")
+        flat = groups.select(F.monotonically_increasing_id().alias("g"), F.inline("members")).drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rest = flat.groupBy("g").agg(F.collect_list(F.struct("id", "n", "first", "root")).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        found = found.unionAll(similar(_pairs(rest, percent)))
+    return found
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, most: int = MOST) -> DataFrame:
+    """The rows of docs that are the first of their class, one for each id and text."""
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
+
+    def name(batches):
+        for piece in _sets(batches, shingle):
+            yield _ints([k for k, _, _ in piece], [s for _, s, _ in piece], names=["key", "id"])
+
+    marked = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"))
+    named = cut(rows.mapInArrow(name, "key bigint, id bigint").distinct().join(marked.distinct(), "key"))
+    low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("low")
+    sets = cut(named.groupBy("id").agg(low))
+    roots = connected_components(links(rows, shingle, percent, most)).withColumnRenamed("node", "id")
+    keep = sets.join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("low").alias("low")).select(F.col("low.key").alias("__cl_key"))
+    return docs.withColumn("__cl_key", key).join(keep, "__cl_key", "left_semi").dropDuplicates(["__cl_key"]).drop("__cl_key")

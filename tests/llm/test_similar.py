@@ -1,0 +1,81 @@
+"""Near-duplicates by exact similarity, against brute force."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from codeloom.llm import similar
+
+from . import test_pipeline
+from .test_pipeline import given  # noqa: F401
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return out
+
+
+def brute_kept(texts):
+    sets, root = brute_sets(texts), list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return [i for i, r in enumerate(root) if r == i]
+
+
+def copies(rnd):
+    """Short texts with copies of which one to four words in sixty are changed: similarities from 0.5 to 1."""
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(rnd.choices(words, k=25))
+    texts = [None, "", " ", "one", "One", "one two", "x y z", "a b c d e " * 40]
+    for _ in range(12):
+        base = rnd.choices(words, k=60)
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                w[rnd.randrange(60)] = rnd.choice(words)
+            texts.append(" ".join(w))
+        texts.append(" ".join(base[:20]) + " " + passage)
+    return texts
+
+
+@pytest.mark.parametrize("most", [similar.MOST, 2])
+def test_near_dedup_is_whole(spark, most):
+    texts = copies(random.Random(8))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in similar.near_dedup(df, most=most).collect())
+    assert got == brute_kept(texts)
+
+
+def test_stage_takes_similar_texts_beyond_three_bits(spark):
+    texts = copies(random.Random(9))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == brute_kept(texts)
+
+
+def test_ids_nulls_empty(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, "p q"), (4, "a b c"), (4, "a b c"), (4, "other"), (2, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in similar.near_dedup(df).collect())
+    assert got == [("2", "None"), ("4", "a b c"), ("4", "other"), ("None", "p q")]
+    assert similar.near_dedup(df.limit(0)).count() == 0
+
+
+def brute_roots(texts):
+    kept, sets = brute_kept(texts), brute_sets(texts)
+    return [i if i in kept else -1 for i in range(len(sets))]
+
+
+def test_whole_pipeline_by_similarity(spark, given, monkeypatch):
+    """The brute force of test_pipeline with five-word similarity in place of three bits."""
+    monkeypatch.setattr(test_pipeline, "brute_fp", lambda t: t)
+    monkeypatch.setattr(test_pipeline, "brute_classes", brute_roots)
+    want, left = test_pipeline.brute(spark, *given)
+    got = corpus_pipeline.run(spark, test_pipeline.FOLDER)
+    assert sorted(tuple(r) for r in got.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch").collect()) == want
+    assert want and left[1] > left[2]
