@@ -3,9 +3,12 @@
 A text is split at newlines. A rolling hash over the hashes of the last WINDOW
 lines ends a chunk wherever its low bits are zero, so boundaries depend on the
 lines nearby only and come back after any insertion (the idea of content-defined
-chunking, with lines for bytes). Chunks of two or more lines that occur more than
-once anywhere are removed but for the first occurrence (smallest doc_id, then
-place). Equality is settled on bytes: a hash counts as repeated only if all its
+chunking, with lines for bytes). One line alone joins the next, and longer chunks
+are cut into twos (a last three stays whole), so that short repetitions hold a
+chunk; a repetition that is out of step with its first occurrence is still lost.
+Chunks of two or more lines that occur more than once anywhere are removed but for
+the first occurrence (smallest doc_id, then place). Equality is settled on bytes: a
+hash counts as repeated only if all its
 chunks have one and the same text.
 
 Defined results: a null text stays null and has no lines; an empty text has one
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-WINDOW, DIVISOR, LEAST = 2, 4, 2
+WINDOW, DIVISOR, LEAST = 2, 2, 2
 
 
 def chunks_of(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int]]:
@@ -36,7 +39,12 @@ def chunks_of(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list[t
         for h in hashes[max(0, i - window + 1) : i + 1]:
             roll = (roll * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
         # a boundary needs a full window, so that two documents agree on it wherever the lines are the same
-        if i + 1 >= window and (roll >> 32) % divisor == 0 or i + 1 == len(lines):
+        if i - start and i + 1 >= window and (roll >> 32) % divisor == 0 or i + 1 == len(lines):
+            if out and i == start:  # a last line alone joins the chunk before
+                start = out.pop()[0]
+            while i + 1 - start > 3:
+                out.append((start, start + 2))
+                start += 2
             out.append((start, i + 1))
             start = i + 1
     return out

@@ -198,3 +198,19 @@ def test_boundaries_resist_shifts():
     moved = ["new first line", *lines]
     b = {"\n".join(moved[s:e]) for s, e in linededup.chunks_of("\n".join(moved))}
     assert len(a - b) <= 2
+
+
+def test_line_dedup_recall(spark):
+    """The share of lines in repeated runs (two lines or more, seen in an earlier text) that goes."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").dropDuplicates(["text"]).where("text <> ''")
+    seen, run = set(), {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        lines = r.text.split("\n")
+        pairs = list(zip(lines, lines[1:]))
+        run[r.doc_id] = len({i + k for i, p in enumerate(pairs) if p in seen for k in (0, 1)})
+        seen.update(pairs)
+    gone = {r.doc_id: r["__cl_gone"] for r in linededup.remove(docs).collect()}
+    assert sum(gone.values()) > 0.5 * sum(run.values()) > 50
+    cut = linededup.chunks_of("\n".join(f"line {i}" for i in range(500)))
+    assert {e - s for s, e in cut} <= {2, 3} and linededup.chunks_of("one") == [(0, 1)]
