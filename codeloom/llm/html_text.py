@@ -9,11 +9,12 @@ within links, which give its composite text density (Sun, Song and Liao 2011):
 where C and T are characters and tags, LC and LT those inside links, NC the
 characters outside links, and b the body; text with few tags and few links is
 dense. The node with the largest sum of its children's densities is the core of
-the article. The threshold is the least density on its path to the body: the
-selection climbs from the core over ancestors that are at least as dense as that
-and hold no boilerplate of their own, so that a heading or a second section
-beside the core isn't lost. Within the selection, boilerplate blocks (by tag,
-role or class) are left out and nothing else is.
+the article. The selection climbs from the core over ancestors that hold no
+boilerplate of their own, so that a heading or a second section beside the core
+isn't lost. Beyond those, up to the body, the least density on the path from the
+body to the core is the threshold: blocks beside the path that are at least as
+dense are kept, and below the body headings and loose text too. Within what is
+kept, boilerplate blocks (by tag, role or class) are left out and nothing else is.
 
 Defined results: null or empty html gives empty text; so does a page without
 text; null ids and urls pass through; repeated rows give repeated rows; an empty
@@ -38,6 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas nav footer aside form button select textarea input dialog menu title".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar".split())
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|sponsor\w*|promo\w*|side-?bar|nav|navbar|navigation|menu|foot|footer|header|masthead|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice|notices|alert|banner|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|breadcrumbs?|pagination|pager|widget|login|toolbar|skip)(?:$|[\s_-])", re.I)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -154,8 +156,18 @@ def _junk_above(n: Node | None) -> bool:
     return False
 
 
+def _prune(n: Node, threshold: float) -> None:
+    """Leaves of a subtree the blocks that are dense enough."""
+    stack = [n]
+    while stack:
+        n = stack.pop()
+        if n.tag not in BLOCKS or n.density < threshold:
+            n.kids = [k for k in n.kids if isinstance(k, Node) and not k.junk and k.tag not in DROPPED]
+            stack += n.kids
+
+
 def select(root: Node) -> Node:
-    """The subtree that holds the article."""
+    """The subtree that holds the article; what lies in it beside the article is taken out of the tree."""
     nodes, body = _densities(root)
     core, junk = None, set()
     for n in nodes:  # parents first
@@ -172,12 +184,18 @@ def select(root: Node) -> Node:
     for n in path:
         if n.tag in ("article", "main"):
             return n
-    for n in path[1:]:
-        has_junk = any(isinstance(k, Node) and (k.junk or k.tag in DROPPED) for k in n.kids)
-        if n is body or n.density < threshold or has_junk:
-            break
-        core = n
-    return core
+    at = 0
+    while at + 1 < len(path) and path[at + 1] is not body and not any(isinstance(k, Node) and (k.junk or k.tag in DROPPED) for k in path[at + 1].kids):
+        at += 1
+    for below, n in zip(path[at:], path[at + 1 :]):
+        if n is body:
+            n.kids = [k for k in n.kids if isinstance(k, Node)]
+        for k in n.kids:
+            if not isinstance(k, Node) or k is below or k.junk or k.tag in DROPPED:
+                continue
+            if n is body or not (k.tag in HEADS or k.tag not in BLOCKS and 2 * k.link_chars <= k.chars):
+                _prune(k, threshold)
+    return path[-1]
 
 
 def blocks(top: Node) -> list[str]:

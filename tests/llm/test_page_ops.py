@@ -96,3 +96,16 @@ def test_rows(spark):
     got = html_text.extract(pages_of(spark, rows)).collect()
     assert sorted((str(r.page_id), r.url or "", r.text) for r in got) == sorted((str(i), u or "", html_text.main_text(p)) for i, u, p in rows)
     assert html_text.extract(pages_of(spark, rows).limit(0)).count() == 0
+
+
+def _p(*words):
+    return "".join(f"<p>{w} " + "some plain words of the article that go on for a while, " * 3 + "</p>" for w in words)
+
+
+@pytest.mark.parametrize("parts", ["<div id=post>{}</div>", "{}"])
+def test_sections_around_adverts_stay(parts):
+    """A section beside an advert is kept as it is dense enough; a list of links isn't."""
+    links = "<div class=list>" + "".join(f"<a href=/{i}>go {i}</a> " for i in range(30)) + "</div>"
+    inner = f"<h2>Head</h2><div class=s>{_p('one', 'two', 'three')}</div><div class=ad><p>buy</p></div><div class=s>{_p('four')}</div>{links}"
+    got = html_text.main_text(f"<body>{parts.format(inner)}<footer>f</footer></body>").split("\n\n")
+    assert [b.split()[0] for b in got] == (["Head"] if "post" in parts else []) + ["one", "two", "three", "four"]
