@@ -149,20 +149,24 @@ class Index:
             yield doc, self.ids[k], similar, at, windows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = 24, least: float = 0.8, most_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_windows). No shuffle of documents."""
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, radius: int, least: float, most_bytes: int):
+    """An index for each block of the benchmark."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-2 * size // most_bytes)) if size > most_bytes else 1
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
+    for k in range(n_blocks):
+        yield Index(sorted(((r.item, r.text) for r in items.where(block == k).collect()), key=repr), radius, least)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = 24, least: float = 0.8, most_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, item_id, similarity, start_word, n_windows). No shuffle of documents."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, start_word bigint, n_windows bigint"
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
-    for k in range(n_blocks):
-        rows = sorted(((r.item, r.text) for r in items.where(block == k).collect()), key=repr)
-        index = Index(rows, radius, least)
+    for index in _indexes(benchmark, item_col, item_text_col, radius, least, most_bytes):
 
         def run(batches, index=index):
             for b in batches:
@@ -178,10 +182,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that hold no item. Rows with null ids are told apart by nothing and stay."""
-    bad = contaminated(docs, benchmark, id_col, **how).select(F.col("doc_id").alias("__cl_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__cl_id"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = 24, least: float = 0.8, most_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs whose own text holds no item, whatever their ids. No shuffle."""
+    at = docs.columns.index(text_col)
+    for index in _indexes(benchmark, item_col, item_text_col, radius, least, most_bytes):
+
+        def run(batches, index=index):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                texts = b.column(at).cast(pa.string()).to_pylist()
+                for rows, some in chunks(list(range(len(texts))), texts):
+                    keep[[rows[doc] for doc, *_ in index.matches(some)]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,13 @@ def test_selection_is_a_prefix_of_each_epoch(spark, share):
         if r.epoch:
             assert any(x.doc_id == r.doc_id and x.epoch == r.epoch - 1 for x in rows)
     assert mixing.select(docs.limit(0), share).count() == 0
+
+
+def test_decontamination_judges_rows_not_ids(spark):
+    """Rows without an id are judged too, and clean rows of a shared id stay."""
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(None, item), (None, "clean"), (1, "x " + item), (1, "also clean"), (2, None)], "doc_id long, text string")
+    for most in (16 << 20, 10):
+        got = decontam.decontaminate(df, bench, most_bytes=most).collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("1", "also clean"), ("2", "None"), ("None", "clean")]
