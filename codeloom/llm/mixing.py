@@ -2,7 +2,8 @@
 
 The tree is domain, language, source. A budget of tokens enters at the root and
 is shared among siblings in proportion to their weights, none getting more than
-its subtree can give (its tokens times max_epochs). What a child can't take goes
+its subtree can give (its tokens times max_epochs, of leaves without a weight of
+zero on their path). What a child can't take goes
 to its siblings; only what they can't take either stays with the parent's own
 siblings. For one set of siblings this is water-filling: child i gets
 min(cap_i, level * w_i), and the level follows in closed form from running sums
@@ -12,10 +13,10 @@ leaf statistics, not over documents.
 A leaf's tokens come from seeded epochs: epoch e is the leaf's documents in the
 order of md5(seed:e:doc_id). All epochs that fit are taken whole, and then the
 longest prefix of the next one whose tokens don't exceed the rest. The prefix is
-found in two steps: tokens are summed by the first three hex digits of the order
-(4096 ranges), which settles all ranges but the one in which the budget ends;
-only documents of that range are sorted. So a leaf with a third of all rows costs
-each task a 4096th of them.
+found digit by digit: tokens are summed by the next hex digit of the order, which
+settles all ranges but the one in which the budget ends, and only that one goes on
+(so no task holds more than 16 sums of a leaf). After DIGITS digits the documents
+of the last range are sorted: of a leaf with a third of all rows, a 4096th.
 
 Words stand for tokens. Everything is integer arithmetic but the level, which is
 one division of exact sums. Defined results: null texts have no tokens and no
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SQL, cut, table
 
-RANGE_DIGITS = 3
+DIGITS, FEW_LEAVES = 3, 10_000
 #: Production weights; what isn't listed has weight 1.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
@@ -54,6 +55,8 @@ def _weight(col: str, weights: dict[str, int]) -> Column:
 def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]] | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(domain, lang, source, tokens, alloc): leaves(domain, lang, source, tokens) with their tokens to draw."""
     weights = weights or {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS, "source": SOURCE_WEIGHTS}
+    for level in LEVELS:  # what can't be drawn is in no cap above it
+        leaves = leaves.where(_weight(level, weights.get(level, {})) > 0)
     at = leaves.select("*", F.lit(budget).cast("bigint").alias("alloc"))
     for depth, level in enumerate(LEVELS):
         path, parent = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
@@ -87,17 +90,20 @@ def select(docs: DataFrame, budget_share: float = BUDGET_SHARE, weights: dict |
     rows = marked.join(plan, list(LEVELS))
     whole = rows.where("full > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    part = cut(rows.where("rest > 0").select("*", F.col("full").alias("epoch"), key.alias("key")).withColumn("range", F.substr("key", F.lit(1), F.lit(RANGE_DIGITS))))
-    by_range = part.groupBy(*LEVELS, "range", "rest").agg(F.sum("n_tokens").alias("t"))
-    order = Window.partitionBy(*LEVELS).orderBy("range")
-    by_range = by_range.select(*LEVELS, "range", (F.sum("t").over(order) - F.col("t")).alias("before"), "t")
-    split = part.join(by_range, [*LEVELS, "range"])
-    inside = split.where("before + t <= rest")
-    edge = split.where("before < rest AND before + t > rest")
-    run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("run", run).where("run <= rest")
     cols = ["doc_id", *LEVELS, "n_tokens", "epoch"]
-    return whole.select(cols).unionByName(inside.select(cols)).unionByName(edge.select(cols))
+    out = whole.select(cols)
+    edge = cut(rows.where("rest > 0").select(*cols[:-1], F.col("full").alias("epoch"), key.alias("key"), F.col("rest").alias("room")))
+    few = leaves.count() <= FEW_LEAVES  # 16 sums of each are sent to all tasks; beyond that the join shuffles
+    for k in range(1, DIGITS + 1):
+        edge = edge.withColumn("digit", F.substr("key", F.lit(k), F.lit(1)))
+        sums = edge.groupBy(*LEVELS, "digit", "room").agg(F.sum("n_tokens").alias("t"))
+        before = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("digit")) - F.col("t")
+        sums = sums.select(*LEVELS, "digit", before.alias("before"), "t")
+        split = cut(edge.join(F.broadcast(sums) if few else sums, [*LEVELS, "digit"]).where("before < room"))
+        out = out.unionByName(split.where("before + t <= room").select(cols))
+        edge = split.where("before + t > room").withColumn("room", F.col("room") - F.col("before")).drop("digit", "before", "t")
+    run = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    return out.unionByName(edge.withColumn("run", run).where("run <= room").select(cols))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,17 +111,18 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _case(col: str, weights: dict[str, int]) -> str:
-    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END" if weights else "1"
 
 
-def oracle(source: str = "documents", share: float = BUDGET_SHARE, epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
+def oracle(source: str = "documents", share: float = BUDGET_SHARE, epochs: int = MAX_EPOCHS, seed: int = SEED, weights: tuple = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)) -> str:
     """DuckDB SQL for select() over the table or parenthesised query `source`."""
+    live = " AND ".join(f"({_case(level, w)}) > 0" for level, w in zip(LEVELS, weights))
     sql = rf"""
 marked AS MATERIALIZED (SELECT doc_id, 'd' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INT), 0) % 4) AS domain, coalesce(lang, 'unknown') AS lang,
   coalesce(source, 'unknown') AS source, len(regexp_extract_all(text, '{WORD_SQL}'))::BIGINT AS n_tokens FROM {source}),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM marked WHERE n_tokens > 0 GROUP BY ALL),
-p0 AS (SELECT *, floor((SELECT sum(tokens) FROM leaves) * {share}::DOUBLE)::BIGINT AS b0 FROM leaves)"""
-    for depth, (level, weights) in enumerate(zip(LEVELS, (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS))):
+p0 AS (SELECT *, floor((SELECT sum(tokens) FROM leaves) * {share}::DOUBLE)::BIGINT AS b0 FROM leaves WHERE {live})"""
+    for depth, (level, weights) in enumerate(zip(LEVELS, weights)):
         path, parent = ", ".join(LEVELS[: depth + 1]), ", ".join(LEVELS[:depth])
         by = f"PARTITION BY {parent} " if parent else ""
         sql += f""",
