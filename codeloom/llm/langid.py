@@ -8,9 +8,10 @@ byte pairs. A text is cut into consecutive windows of WINDOW bytes (the last
 padded with spaces) that cover it all; its distribution is the mean of its
 windows' distributions, weighted by their bytes.
 
-Training reads a bounded sample: at most `per_lang` labelled documents of each
-language (of the MOST_LANGS most frequent ones), those with the smallest hash of
-the id, and PIECES windows spread over each. Prediction uses the text alone.
+Training reads a bounded sample: at most `per_lang` labelled rows of each language,
+and fewer where there are so many languages that this exceeds `most_rows` (but at
+least LEAST of each; every language is learnt), those with the smallest hash, and
+PIECES windows spread over each. Prediction uses the text alone.
 
 Defined results: a null text or one without a letter is 'und' with score 0, and
 so is everything if no labelled row is left to learn from; null ids pass
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 WINDOW, PIECES, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-MOST_LANGS, SPARE = 200, 4
+LEAST, SPARE = 16, 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -107,21 +108,24 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, steps: int = 1500, seed: int = 7) -> Model | None:
-    """A model from at most per_lang rows of each language; None if there are none."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, most_rows: int = 12_000, steps: int = 1500, seed: int = 7) -> Model | None:
+    """A model from at most per_lang rows of each language; None if there are none.
+
+    The driver gets max(most_rows, LEAST * languages) rows of PIECES * WINDOW characters at most.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     # Only rows whose hash is below a bound that leaves about SPARE * per_lang of a language are dealt out and ordered.
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return None
+    per_lang = min(per_lang, max(LEAST, most_rows // len(sizes)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, SPARE * per_lang / r.n))])[F.col("lang")]
-    few = labelled.select("doc_id", "lang").where(F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5 <= share)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct()
+    few = labelled.withColumn("h", F.xxhash64("doc_id", "text")).where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share)
     size = F.length("text")
     piece = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr("text", (F.floor(i * size / PIECES) + 1).cast("int"), F.lit(WINDOW)))
-    rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", piece.alias("p")).distinct().limit(2 * per_lang * MOST_LANGS).collect()  # ids and rows: per_lang for each of MOST_LANGS
-    rows = sorted(rows, key=lambda r: (str(r.lang), str(r.doc_id), r.p))
+    few = few.select("lang", "h", piece.alias("p")).dropDuplicates(["lang", "h"])
+    rows = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_lang).drop("n").collect()
+    rows = sorted(rows, key=lambda r: (r.lang, r.h))
     langs = sorted({r.lang for r in rows})
     xs, ys = [], []
     for r in rows:
