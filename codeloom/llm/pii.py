@@ -1,16 +1,18 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over the text finds anchors: at-signs, plus signs, digits,
-scheme marks (://) and identifier cues (iban, ssn, account). A deterministic
+scheme marks (://), identifier cues (iban, ssn, account), cues of secrets (token,
+password and the like) and the fixed beginnings of known keys. A deterministic
 parser then expands each anchor in place and validates what it finds: e-mail
 addresses to the left and right of an at-sign, dotted addresses, card numbers
-(Luhn), phone numbers, URLs that carry a login, IBANs (mod 97), social security
-and account numbers behind their cue. Parsers look at the text around an anchor
-only, so the work is linear in the text.
+(Luhn), phone numbers, URLs that carry a login, IBANs (length of the country,
+mod 97; with or without a cue), social security and account numbers behind their
+cue, and secrets: the value assigned to a cue, or a key by its beginning. Parsers
+look at the text around an anchor only, so the work is linear in the text.
 
 Kinds email, ip, card and phone give exactly the leftmost non-overlapping
 matches of their patterns; a match that fails its test is dropped and not
-retried. Kinds url, iban, ssn and account are additions.
+retried. Kinds url, iban, ssn, account and secret are additions, each span once.
 
 Defined results: a null text counts as empty (no spans); repeated rows give
 repeated rows; an empty table gives none; other columns are ignored. Spans are
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "iban", "ssn", "account")
+KINDS = (*BASE, "url", "iban", "ssn", "account", "secret")
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,10 +38,34 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"://[^\s/@:]+:[^\s/@]*@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
-IBAN = re.compile(r"[^A-Za-z0-9\n]{1,5}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+BEFORE_IBAN = re.compile(r"[^\w\n]{1,5}")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", re.I)
 SSN = re.compile(r"[^A-Za-z0-9\n]{1,5}([0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4})(?![0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|id))?[ :=#]{1,3}([0-9](?:[ -]?[0-9]){5,17})(?![0-9])", re.I)
-CUES = {"iban": IBAN, "ssn": SSN, "account": ACCOUNT}
+CUES = {"ssn": SSN, "account": ACCOUNT}
+#: Characters of an IBAN by country (ISO 13616).
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "private_key", "auth_key")
+VALUE = re.compile(r"[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}(?:\"([^\"\s]{6,512})\"|'([^'\s]{6,512})'|([A-Za-z0-9_+/=.~-]{8,512}))")
+#: Beginnings of keys that are known by them, and what follows.
+KEYS = {
+    "AKIA": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "ASIA": re.compile(r"ASIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "AIza": re.compile(r"AIza[0-9A-Za-z_-]{35}"),
+    "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}"),
+    "gho_": re.compile(r"gho_[0-9A-Za-z]{36}"),
+    "github_pat_": re.compile(r"github_pat_[0-9A-Za-z_]{22,}"),
+    "xoxb-": re.compile(r"xoxb-[0-9A-Za-z-]{10,}"),
+    "xoxp-": re.compile(r"xoxp-[0-9A-Za-z-]{10,}"),
+    "sk_live_": re.compile(r"sk_live_[0-9A-Za-z]{16,}"),
+    "-----BEGIN ": re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----)?"),
+    "eyJ": re.compile(r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -61,12 +87,32 @@ def _valid(kind: str, s: str) -> bool:
         return 14 <= len(d := _digits(s)) <= 19 and luhn(d)
     if kind == "phone":
         return 10 <= len(_digits(s)) <= 15
-    if kind == "iban":
-        flat = s.replace(" ", "")
-        return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
     return True
 
 
+def iban_end(text: str, start: int) -> int | None:
+    """Where the valid IBAN that starts there ends: single spaces within, no letter or digit behind."""
+    m = IBAN.match(text, start)
+    if not m:
+        return None
+    s = m[0]
+    size, at, flat = IBAN_SIZES.get(s[:2].upper()), 0, ""
+    while at < len(s) and (size is None or len(flat) < size):
+        flat += "" if s[at] == " " else s[at]
+        at += 1
+    if size is not None and len(flat) < size or not flat.isascii() or start + at < len(text) and text[start + at].isalnum():
+        return None
+    return start + at if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else None
+
+
+def secret_value(m: re.Match) -> tuple[int, int] | None:
+    """The span of a value assigned to a cue. Without quotes it needs a digit and a letter, so prose is none."""
+    k = next(g for g in (1, 2, 3) if m[g] is not None)
+    if k == 3 and not (re.search("[0-9]", m[3]) and re.search("[A-Za-z]", m[3])):
+        return None
+    return m.span(k)
+
+
 def automaton():
     import ahocorasick
 
@@ -76,9 +122,11 @@ def automaton():
     a.add_word("@", "at")
     a.add_word("+", "plus")
     a.add_word("://", "scheme")
-    for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
+    for cue in ("iban", *CUES, *SECRET_CUES):
+        for form in {cue, cue.upper(), cue.capitalize()}:
             a.add_word(form, cue)
+    for begin in KEYS:
+        a.add_word(begin, begin)
     a.make_automaton()
     return a
 
@@ -87,7 +135,7 @@ def spans(text: str | None, auto) -> list[tuple[str, int, int]]:
     """All spans of a text in order."""
     if not text:
         return []
-    out = []
+    out, more = [], set()
     after = dict.fromkeys(("email", "ip", "card", "phone"), 0)
 
     def take(kind: str, start: int, end: int) -> None:
@@ -101,6 +149,8 @@ def spans(text: str | None, auto) -> list[tuple[str, int, int]]:
                 take("ip", at, m.end())
             if at >= after["card"] and (m := CARD.match(text, at)):
                 take("card", at, m.end())
+            if at >= 2 and text[at - 2 : at] in IBAN_SIZES and not (at > 2 and text[at - 3].isalnum()) and (end := iban_end(text, at - 2)):
+                more.add(("iban", at - 2, end))
         elif cue == "at":
             start = at
             while start > after["email"] and LOCAL.match(text, start - 1):
@@ -115,10 +165,20 @@ def spans(text: str | None, auto) -> list[tuple[str, int, int]]:
             while start > 0 and text[start - 1].isascii() and text[start - 1].isalpha():
                 start -= 1
             if start < at - 2 and (m := LOGIN.match(text, at - 2)):
-                out.append(("url", start, m.end()))
-        elif not text[at - len(cue) : at - len(cue) + 1].isalnum() or at < len(cue):
-            if (m := CUES[cue].match(text, at + 1)) and _valid(cue, m[1]):
-                out.append((cue, m.start(1), m.end(1)))
+                more.add(("url", start, m.end()))
+        elif at < len(cue) or not text[at - len(cue)].isalnum():
+            if cue in KEYS:
+                if m := KEYS[cue].match(text, at - len(cue) + 1):
+                    more.add(("secret", *m.span()))
+            elif cue == "iban":
+                if (m := BEFORE_IBAN.match(text, at + 1)) and (end := iban_end(text, m.end())):
+                    more.add(("iban", m.end(), end))
+            elif cue in CUES:
+                if m := CUES[cue].match(text, at + 1):
+                    more.add((cue, *m.span(1)))
+            elif (m := VALUE.match(text, at + 1)) and (span := secret_value(m)):
+                more.add(("secret", *span))
+    out += more
     out.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return out
 
