@@ -114,8 +114,60 @@ def test_pii_base_spans_match_patterns():
         assert [s for s in pii.spans(t, auto) if s[0] in pii.BASE] == brute_spans(t), t
 
 
+def iban_of(country, body):
+    """An IBAN with its check digits."""
+    digits = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(digits) % 97:02d}{body}"
+
+
+def brute_ibans(text):
+    """Every place where a valid IBAN of its country's length stands between other characters, spaces within allowed singly."""
+    out = set()
+    for start in range(len(text)):
+        size = pii.IBAN_SIZES.get(text[start : start + 2])
+        if size is None or start and text[start - 1].isalnum():
+            continue
+        flat, at = "", start
+        while at < len(text) and len(flat) < size:
+            if re.match("[A-Z0-9]", text[at]):
+                flat += text[at]
+            elif not (text[at] == " " and text[at - 1] != " " and len(flat) >= 4):
+                break
+            at += 1
+        if len(flat) == size and flat[2:4].isdigit() and not text[at : at + 1].isalnum() and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1:
+            out.add((start, at))
+    return out
+
+
+def test_pii_ibans_match_brute_force():
+    rnd, auto = random.Random(12), pii.automaton()
+    good = [iban_of("DE", "370400440532013000"), iban_of("NO", "86011117947"), iban_of("GB", "WEST12345698765432"), iban_of("MT", "MALT011000012345MTLCAST001S")]
+    spaced = [" ".join(x[k : k + 4] for k in range(0, len(x), 4)) for x in good]
+    parts = [*good, *spaced, " ", " OK", "X", "7", ", ", "é", "DE", "iban ", "\n", good[0][:-1] + "1"]
+    found = 0
+    for _ in range(4000):
+        t = "".join(rnd.choices(parts, k=rnd.randint(1, 6)))
+        want = brute_ibans(t)
+        assert {(a, z) for k, a, z in pii.spans(t, auto) if k == "iban"} == want, t
+        found += len(want)
+    assert found > 1000
+
+
+def test_pii_secrets():
+    auto = pii.automaton()
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    holds = {
+        f'the token = "{key}" here': key, f"API_KEY={key}": key, "password: 'correct-horse'": "correct-horse", "x AKIA" + "Q" * 16 + " y": "AKIA" + "Q" * 16, "ghp_" + "a1" * 18: "ghp_" + "a1" * 18,
+        "client_secret => abcd1234efgh": "abcd1234efgh", '"Token": "abc def", "pwd": "hunter22"': "hunter22", "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----": "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----",
+    }
+    for t, want in holds.items():
+        assert [t[a:z] for k, a, z in pii.spans(t, auto) if k == "secret"] == [want], t
+    for t in ("the token of love: friendship", "no password here", "secret: everlasting", "tokens = ", "AKIA12", "a secretary = 12345678a", "xghp_" + "a1" * 18):
+        assert not [s for s in pii.spans(t, auto) if s[0] == "secret"], t
+
+
 def test_pii_rows(spark):
-    t = "é mail bob.x+1@mail.example.com, 10.0.0.255 or 10.0.0.256; card 4539 5787 6362 1486, +1 (017) 555-7713. IBAN: DE89 3704 0044 0532 0130 00. https://me:pw@h.example/x account no 12345678"
+    t = "é mail bob.x+1@mail.example.com, 10.0.0.255 or 10.0.0.256; card 4539 5787 6362 1486, +1 (017) 555-7713. IBAN: DE89 3704 0044 0532 0130 00 OK. https://me:pw@h.example/x account no 12345678"
     got = {r.doc_id: r.spans for r in pii.find(rows(spark, [*EDGE, t])).collect()}
     assert all(got[i] == [] for i in range(len(EDGE)))
     assert [(s.kind, t[s.start : s.end]) for s in got[len(EDGE)]][:4] == [("email", "bob.x+1@mail.example.com"), ("ip", "10.0.0.255"), ("card", "4539 5787 6362 1486"), ("phone", "+1 (017) 555-7713")]

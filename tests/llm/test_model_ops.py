@@ -39,6 +39,14 @@ def test_langid_edges(spark):
     assert langid.keep_identified(docs.limit(0)).count() == 0
 
 
+def test_langid_learns_every_language(spark):
+    """250 languages, more than the sample has rows for at its usual size; ids that repeat."""
+    data = [(i % 40, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} " * 30 + str(k), f"l{i:03d}", "s") for i in range(250) for k in range(3)]
+    docs = docs_of(spark, data)
+    model = langid.train(docs, per_lang=50, most_rows=10, steps=5)
+    assert len(model.langs) == 250
+
+
 def test_langid_reads_the_whole_text(spark):
     train = [(i, ("the cat and the hat " if i % 2 else "der hund und die katze ") * 9, "en" if i % 2 else "de", "s") for i in range(200)]
     docs = docs_of(spark, train + [(900, "the cat and the hat " * 20 + "der hund und die katze " * 400, None, "s")])
@@ -74,7 +82,8 @@ def brute_contaminated(docs, items, least=0.8):
 def test_decontamination_matches_brute_force(spark):
     rnd = random.Random(8)
     words = [f"w{i}" for i in range(200)]
-    items = [(k, " ".join(rnd.choices(words, k=rnd.choice([1, 3, 5, 12, 30, 60])))) for k in range(25)] + [(90, None), (91, ""), (92, " .. ")]
+    items = [(k, " ".join(rnd.choices(words, k=rnd.choice([1, 3, 5, 12, 30, 60])))) for k in range(25)] + [(90, None), (91, ""), (92, " .. "), (None, "w1 w2 w3 w4 w5 w6")]
+    items.append((93, items[7][1]))  # two ids of one text
     docs = [(i, t) for i, t in enumerate([None, "", "  \n", "w1", "w5 " * 20000])]
     for i in range(10, 90):
         own = rnd.choices(words, k=rnd.randint(0, 120))
@@ -95,14 +104,34 @@ def test_decontamination_matches_brute_force(spark):
 
 
 def test_multi_index_finds_all_within_radius():
+    """All items of the size within the radius, and few of the others as candidates."""
     import numpy as np
 
     rnd = np.random.default_rng(1)
-    items = [(k, " ".join(f"x{v}" for v in rnd.integers(0, 9, 20))) for k in range(60)]
-    index = decontam.Index(items, 24, 0.8)
-    probes = rnd.integers(0, 2**63, 40).astype(np.uint64)
-    want = {(a, k) for a, p in enumerate(probes.tolist()) for k in range(60) if (p ^ int(index.prints[k])).bit_count() <= 24}
-    assert set(index.items_near(20, probes)) == want
+    items = [(k, " ".join(f"x{v}" for v in rnd.integers(0, 9, 20))) for k in range(600)]
+    index = decontam.Index(items)
+    probes = rnd.integers(0, 2**63, 200).astype(np.uint64)
+    for k in range(100):  # some within the radius of an item
+        probes[k] = index.prints[k] ^ np.uint64(sum(1 << int(b) for b in rnd.permutation(64)[: k % 18]))
+    want = {(a, k) for a, p in enumerate(probes.tolist()) for k in range(600) if (p ^ int(index.prints[k])).bit_count() <= 15}
+    at, item = index.items_near(20, probes)
+    assert set(zip(at.tolist(), item.tolist())) == want and len(want) > 80
+    index.candidates = index.compared = 0
+    index.items_near(20, probes[100:])
+    assert index.candidates < 0.05 * index.compared == 0.05 * 60_000
+
+
+def test_windows_of_a_repeated_shingle_are_ranges():
+    import numpy as np
+
+    places = np.arange(5, 200_000)
+    got = np.concatenate(list(decontam._pieces(np.maximum(0, places - 40), places + 1, 50)))
+    assert (got == np.arange(0, 200_000)).all()
+    rnd = np.random.default_rng(3)
+    for _ in range(50):
+        low = np.sort(rnd.integers(0, 500, 20))
+        high = low + rnd.integers(1, 30)
+        assert np.concatenate(list(decontam._pieces(low, high, 10))).tolist() == sorted({x for a, z in zip(low, high) for x in range(a, z)})
 
 
 def test_budgets_redistribute_among_siblings_first(spark):
@@ -115,6 +144,27 @@ def test_budgets_redistribute_among_siblings_first(spark):
     assert got == {"s1": 10, "s2": 540, "s3": 50}
 
 
+@pytest.mark.parametrize("zero", [{"source": {"src0": 0}}, {"lang": {"en": 0}}, {"domain": {"d0": 0}}, {"source": {"src0": 0, "src1": 0, "src2": 0}, "lang": {"de": 0}}])
+def test_weight_zero_at_any_level_loses_no_budget(spark, zero):
+    import duckdb
+
+    docs = [(i, "w " * (i % 7 + 1), ["en", "de", None][i % 3], f"src{i % 4}") for i in range(360)]
+    weights = {"domain": {}, "lang": {}, "source": {}} | zero
+    for few in (mixing.FEW_LEAVES, -1):
+        had, mixing.FEW_LEAVES = mixing.FEW_LEAVES, few
+        got = sorted(tuple(r) for r in mixing.select(docs_of(spark, docs), 0.4, weights).collect())
+        mixing.FEW_LEAVES = had
+        db = duckdb.connect()
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", docs)
+        sql = "WITH " + mixing.oracle(share=0.4, weights=(weights["domain"], weights["lang"], weights["source"])).lstrip() + " SELECT doc_id, domain, lang, source, n_tokens, epoch FROM mixed"
+        assert got == sorted(db.execute(sql).fetchall())
+    total = sum(len(d[1].split()) for d in docs)
+    assert sum(r[4] for r in got) > 0.4 * total - 8 * 12
+    leaves = spark.createDataFrame([("d0", "en", "src0", 1000), ("d1", "en", "src1", 1000)], "domain string, lang string, source string, tokens long")
+    assert {r.source: r.alloc for r in mixing.budgets(leaves, 1000, {"domain": {}, "lang": {}, "source": {"src0": 0}}, 1).collect()} == {"src1": 1000}
+
+
 @pytest.mark.parametrize("share", [0.3, 2.5])
 def test_selection_is_a_prefix_of_each_epoch(spark, share):
     rnd = random.Random(9)
