@@ -127,14 +127,92 @@ def test_rows(spark):
     assert html_text.extract(pages_of(spark, rows).limit(0)).count() == 0
 
 
+PROSE = "some plain words of the article that go on for a while, " * 3
+
+
 def _p(*words):
-    return "".join(f"<p>{w} " + "some plain words of the article that go on for a while, " * 3 + "</p>" for w in words)
+    return "".join(f"<p>{w} {PROSE}</p>" for w in words)
+
+
+def first_words(page):
+    return [b.split()[0] for b in html_text.main_text(page).split("\n\n")]
+
+
+LINKS = "".join(f"<a href=/{i}>go to {i}</a> " for i in range(40))
+SELECTED = [
+    # sections around an advert, and a list of links
+    (f"<div id=post><h2>Head</h2><div class=s>{_p('one', 'two', 'three')}</div><div class=ad><p>buy</p></div><div class=s>{_p('four')}</div><div class=list>{LINKS}</div></div><footer>f</footer>", ["Head", "one", "two", "three", "four"]),
+    # heading, introduction and a second section beside the core, with and without a wrapper
+    (f"<h1>Head</h1><p>Intro {PROSE}</p><div id=a>{_p('one', 'two', 'three')}</div><div id=b>{_p('four')}</div>", ["Head", "Intro", "one", "two", "three", "four"]),
+    (f"<div><h1>Head</h1><p>Intro.</p><div id=a>{_p('one')}</div><div id=b>{_p('two', 'three', 'four')}</div></div>", ["Head", "Intro.", "one", "two", "three", "four"]),
+    # a sparse block beside the path fails the threshold, the dense one within it doesn't
+    (f"<div id=page><div><p>Tel.<br>1</p><p>Fax<br>2</p><p>x</p></div><div id=main>{_p('one', 'two')}</div></div>", ["one", "two"]),
+    (f"<div id=page><div><p>Tel.<br>1</p><p>Fax<br>2</p><div>{_p('inner')}</div></div><div id=main>{_p('one', 'two', 'three')}</div></div>", ["inner", "one", "two", "three"]),
+    # class words that also name content
+    (f"<article><p class=notice>first {PROSE}</p><div class='social history'>second {PROSE}</div></article>", ["first", "second"]),
+    (f"<article>{_p('one', 'two')}<p class=notice>Mind the gap.</p><div class='related'><a href=/>a link of it</a></div></article>", ["one", "two"]),
+    # dense boilerplate, unless it holds the article
+    (f"<article>{_p('one')}</article><div id=comments>{_p('c1', 'c2', 'c3', 'c4')}</div><div class='ads'>buy {PROSE}{PROSE}</div>", ["one"]),
+    (f"<div class='hentry has-comments'><h1>Head</h1>{_p('one', 'two')}</div>", ["Head", "one", "two"]),
+    # links in main
+    (f"<main>{_p('one')}{LINKS}</main>", ["one"]),
+    (f"<main>{_p('one')}<ul>" + "".join(f"<li><a href=/{i}>go to {i}</a></li>" for i in range(40)) + "</ul></main>", ["one"]),
+]
 
 
-@pytest.mark.parametrize("parts", ["<div id=post>{}</div>", "{}"])
-def test_sections_around_adverts_stay(parts):
-    """A section beside an advert is kept as it is dense enough; a list of links isn't."""
-    links = "<div class=list>" + "".join(f"<a href=/{i}>go {i}</a> " for i in range(30)) + "</div>"
-    inner = f"<h2>Head</h2><div class=s>{_p('one', 'two', 'three')}</div><div class=ad><p>buy</p></div><div class=s>{_p('four')}</div>{links}"
-    got = html_text.main_text(f"<body>{parts.format(inner)}<footer>f</footer></body>").split("\n\n")
-    assert [b.split()[0] for b in got] == (["Head"] if "post" in parts else []) + ["one", "two", "three", "four"]
+@pytest.mark.parametrize("page,want", SELECTED)
+def test_selection(page, want):
+    assert first_words(f"<html><body>{page}</body></html>") == want
+    assert first_words(page) == want
+
+
+def brute_densities(n, body):
+    """(characters, tags, in links, links) of a node straight from its subtree."""
+    strings, tags, stack = [], 0, [(n, n.tag == "a")]
+    links = int(n.tag == "a")
+    while stack:
+        x, in_link = stack.pop()
+        for k in x.kids:
+            if isinstance(k, str):
+                strings.append((len(" ".join(k.split())), in_link))
+            elif not k.junk:
+                tags += 1
+                links += k.tag == "a"
+                stack.append((k, in_link or k.tag == "a"))
+    return sum(c for c, _ in strings), tags, sum(c for c, link in strings if link), links
+
+
+def test_densities_match_brute_force():
+    import math
+    import random
+
+    rnd = random.Random(7)
+    for _ in range(60):
+        page = "".join(rnd.choices(["<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "<b>", "words of text ", "x", "<ul><li>", "</ul>", "<div class=ad>", "<br>", "<nav>", "</nav>"], k=120))
+        root = html_text.tree(page)
+        html_text._settle_marks(root)
+        nodes = html_text._densities(root)
+        cb, _, lcb, _ = brute_densities(root, root)
+        for n in nodes:
+            c, t, lc, lt = brute_densities(n, root)
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == (c, t, lc, lt)
+            want = 0.0 if not c else c / max(1, t) * math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(1 + math.log(c / max(1, c - lc) * lc + lcb / max(1, cb) * c + math.e))
+            assert abs(n.density - want) < 1e-6 * max(1, want) and n.plain == (c - lc) / max(1, t - lt)
+            assert abs(n.sum - sum(k.density for k in n.kids if not isinstance(k, str) and not k.junk)) < 1e-6
+
+
+BROKEN = ["<a ", "<b><i>", "<div>x</div>", "<a '\"", "<p><b>", "</b>", "<!--", "<a href=\"", "<td><tr>", "<li><p>x", "< <", "&amp", "<a b='>\">", "<script>", "</div><p>", "<table><tr><td>x"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+@pytest.mark.parametrize("tail", ["", "<div>x</div>", ">", "</b><i></p>"])
+def test_broken_pages_take_linear_time(piece, tail):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        page = piece * n + tail * n
+        began = time.process_time()
+        html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.3, took
