@@ -17,9 +17,29 @@ the radius), until they are small or so few bits are free that a bucket can't
 hold more than 2**FREE distinct values. No bucket is capped or sampled. A bucket
 yields the spanning stars of its components, never its pairs.
 
+near_dedup() removes near-duplicates of a five-word similarity. Such texts lie many
+bits apart in fingerprints of shingles, as one changed word changes five of them,
+and few in fingerprints of their distinct words: 4 bits in the mean at 0.8. So it
+links texts whose word fingerprints are within NEAR bits and whose sets of shingles
+have a Jaccard similarity of `percent` or more. Candidates come from covering
+masks as above, over the halves of the fingerprint: of any two texts within 8 bits
+one half differs in at most 4 bits or the other in at most 3, so 31 and 15 tables
+of about 16 bits find all of them. It works on distinct sets of shingles.
+
+1. In some of the tables each set names the nearest sets of its bucket, which takes
+   groups of copies together at the cost of two pairs a set.
+2. In all tables all pairs within the radius are compared but those already in one
+   class. Buckets over `most` are dealt anew by blocks of their free bits, DEPTH
+   times at most (each makes a bucket of unlike texts a 32nd, and none of like ones);
+   those that remain, or hardly hold more than one class, are cut into pieces of
+   `most` sets, each with all sets outside of the largest class. No pair is left out.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like
 any other; repeated rows share a class; documents whose ids are all null get a
-null class; an empty table gives none; other columns are ignored.
+null class; an empty table gives none; other columns are ignored. near_dedup():
+shorter texts are one shingle, wordless and null texts are one class; a class keeps
+its smallest id (null ids last), and one text of an id with several; rows that
+repeat id and text are one document; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -30,9 +50,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import U64, chunks, connected_components, cut, joined, run_hashes, table, word_hashes
 
 BITS, FREE = 64, 12
+SHINGLE, PERCENT, NEAR, MOST, DEPTH, FIRST, FEW = 5, 80, 8, 1024, 2, 5, 1 << 17
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -64,11 +87,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def covering_masks(radius: int) -> list[int]:
-    """2**(radius+1) - 1 masks, signed, of which each pair within the radius agrees on one."""
+def covering_masks(radius: int, first: int = 0, bits: int = BITS) -> list[int]:
+    """2**(radius+1) - 1 masks of some bits, signed, of which each pair within the radius on them agrees on one."""
     n = (1 << (radius + 1)) - 1
-    vectors = [1 + i % n for i in range(BITS)]
-    return [_signed(sum(1 << i for i in range(BITS) if bin(vectors[i] & v).count("1") % 2)) for v in range(1, n + 1)]
+    vectors = [1 + i % n for i in range(bits)]
+    return [_signed(sum(1 << first + i for i in range(bits) if bin(vectors[i] & v).count("1") % 2)) for v in range(1, n + 1)]
+
+
+def half_masks(radius: int) -> list[int]:
+    """Masks of which each pair within the radius agrees on one: it differs in radius // 2 bits at most on the
+    lower half, or in (radius - 1) // 2 at most on the upper one."""
+    return covering_masks(radius // 2, 0, 32) + (covering_masks((radius - 1) // 2, 32, 32) if radius else [])
 
 
 def _signed(x: int) -> int:
@@ -143,13 +172,176 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     return marked.join(rooted.join(lows, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 5) -> DataFrame:
-    """The rows of docs that are the first of their class: the smallest id stays; rows
-    that repeat an id are one document, and all but one go. Rows with null ids stay."""
-    found = classes(docs, id_col, text_col, radius, shingle)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__cl_id")).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__cl_id"), "left_semi").dropDuplicates([id_col])
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+def _ints(*columns, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE):
+    """(sorted distinct shingle hashes, word fingerprint) of each text."""
+    raw, begin = joined(texts)
+    start, _, words = word_hashes(LOWER[raw])
+    first = np.searchsorted(start, begin)
+    grams = run_hashes(words, shingle)
+    for a, z in zip(first.tolist(), np.append(first[1:], len(words)).tolist()):
+        if a == z:
+            yield grams[:0], 0
+            continue
+        own = grams[a : z - shingle + 1] if z - a >= shingle else run_hashes(words[a:z], z - a)
+        once, ones = np.unique(words[a:z]), np.zeros(BITS, np.int64)
+        for k in range(0, len(once), 1 << 14):
+            ones += np.unpackbits(once[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.unique(own), int(np.packbits(2 * ones > len(once), bitorder="little").view("<i8")[0])
+
+
+def _sets(batches, shingle: int):
+    """Lists of (row key, name of the set, set, fingerprint) in pieces of text."""
+    for b in batches:
+        for keys, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), 1 << 18):
+            yield [(k, int(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).astype(np.int64)), g, fp) for k, (g, fp) in zip(keys, shingle_sets(texts, shingle))]
+
+
+def _nearest(ids: np.ndarray, fps: np.ndarray, radius: int):
+    """Pairs of each set and its nearest, and its nearest before it, within the radius; in blocks of rows."""
+    at = np.arange(len(ids))
+    for k in range(0, len(ids), 256):
+        own = at[k : k + 256]
+        apart = np.bitwise_count(fps[own, None] ^ fps[None, :]).astype(np.int16)
+        apart[own - k, own] = 99
+        for far in (apart, np.where(at[None, :] < own[:, None], apart, 99)):
+            near = far.argmin(1)
+            some = far[own - k, near] <= radius
+            yield ids[own[some]], ids[near[some]]
+
+
+def _across(ids, fps, root, other, radius: int):
+    """Pairs within the radius of a set marked `other` and any set of another class."""
+    rows = np.flatnonzero(other)
+    for k in range(0, len(rows), 256):
+        own = rows[k : k + 256]
+        i, j = np.nonzero((np.bitwise_count(fps[own, None] ^ fps[None, :]) <= radius) & (root[own, None] != root[None, :]))
+        yield ids[own[i]], ids[j]
+
+
+def _pairs(members: DataFrame, radius: int, whole: bool) -> DataFrame:
+    """(a, b) from lists of members(id, fp, root, other): the nearest ones of each, or all across classes."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0):
+                ids, fps, root, other = (x.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                order = np.lexsort((ids, fps))
+                ids, fps, root, other = ids[order], fps[order].view(U64), root[order], other[order]
+                if whole:
+                    found = _across(ids, fps, root, other, radius)
+                else:
+                    found = (pair for k in range(0, len(ids), MOST) for pair in _nearest(ids[k : k + MOST], fps[k : k + MOST], radius))
+                for i, j in found:
+                    if len(i):
+                        yield _ints(np.minimum(i, j), np.maximum(i, j), names=["a", "b"])
+
+    return members.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _members(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy("bucket", *by).agg(F.collect_list(F.struct("id", "fp", "root", "other")).alias("members")).where("size(members) > 1").select("members")
+
+
+def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """rows once for each mask, with the bucket: a hash of mask and masked fingerprint (what collides is only compared in vain)."""
+    rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
+    return rows.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+
+
+def _candidates(sets: DataFrame, radius: int, most: int) -> DataFrame:
+    """(a, b): all pairs of sets(id, fp, root) within the radius whose roots differ."""
+    rows, found = _dealt(sets.withColumn("other", F.lit(True)), half_masks(radius)), None
+    for depth in range(DEPTH + 1):
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        sizes = cut(sizes.where("low < high").select("bucket", "n"))  # a bucket of one class has no pair to give
+        fit = rows.join(sizes.where(F.col("n") <= most), "bucket", "left_semi")
+        found = _pairs(_members(fit), radius, True) if found is None else found.unionAll(_pairs(_members(fit), radius, True))
+        if not sizes.where(F.col("n") > most).limit(1).count():
+            return found.distinct()
+        large = cut(rows.join(sizes.where(F.col("n") > most), "bucket").drop("other"))
+        by_root = large.groupBy("bucket", "root").agg(F.count("*").alias("own"))
+        top = cut(by_root.groupBy("bucket").agg(F.sum("own").alias("all"), F.max(F.struct("own", "root")).alias("top")))
+        large = large.join(top.select("bucket", "all", F.col("top.root").alias("top"), (F.col("all") - F.col("top.own")).alias("rest")), "bucket")
+        done = F.expr(f"rest * n <= {most * most}") | F.lit(depth == DEPTH)
+        # pieces of `most` sets, each with all sets outside of the largest class
+        pieces = F.ceil(F.col("n") / F.lit(most)).cast("int")
+        other = F.col("root") != F.col("top")
+        own = F.pmod(F.xxhash64("id"), pieces.cast("long")).cast("int")
+        salted = large.where(done).withColumn("other", other).withColumn("piece", F.explode(F.when(other, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(own))))
+        found = found.unionAll(_pairs(_members(salted, "piece"), radius, True))
+        rest = large.where(~done)
+        masks = [r.mask for r in rest.select("mask").distinct().collect()]  # 46 * (radius + 1)**(DEPTH - 1) at most
+        if not masks:
+            break
+        finer = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(y) for y in _finer(m, radius + 1)]))])
+        rows = rest.select("id", "fp", "root", F.lit(True).alias("other"), F.explode(finer[F.col("mask")]).alias("mask"))
+        rows = cut(rows.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask")))))
+    return found.distinct()
+
+
+def similar_links(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST) -> DataFrame:
+    """(a, b): links between names of sets of rows(key, text) that connect what pairs within the radius and of the similarity connect."""
+
+    def prints(batches):
+        for piece in _sets(batches, shingle):
+            once = {name: fp for _, name, grams, fp in piece if len(grams)}
+            yield _ints(list(once), list(once.values()), names=["id", "fp"])
+
+    sets = cut(rows.mapInArrow(prints, "id bigint, fp bigint").groupBy("id").agg(F.min("fp").alias("fp")))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        few = np.sort(wanted.limit(FEW + 1).toArrow().column("id").to_numpy())
+        only = few if len(few) <= FEW else None  # tasks send these sets alone; beyond that a join picks them
+
+        def known(batches):
+            for piece in _sets(batches, shingle):
+                once = {name: grams for _, name, grams, _ in piece if len(grams)}
+                if only is not None:
+                    names = np.fromiter(once, np.int64, len(once))
+                    once = {n: once[n] for n in names[np.isin(names, only)].tolist()}
+                for name, grams in once.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([grams.view(np.int64)], pa.list_(pa.int64()))], ["id", "grams"])
+
+        known = rows.mapInArrow(known, "id bigint, grams array<bigint>")
+        known = cut((known if only is not None else known.join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
+        a, b = (known.select(F.col("id").alias(c), F.col("grams").alias(f"{c}s")) for c in "ab")
+        both, all_ = F.size(F.array_intersect("as", "bs")), F.size("as") + F.size("bs")
+        return cut(pairs.join(a, "a").join(b, "b").where((100 + percent) * both >= percent * all_).select("a", "b"))
+
+    masks = half_masks(radius)
+    alone = sets.withColumns({"root": F.col("id"), "other": F.lit(True)})
+    # an unbounded bucket is cut into hashed pieces here, as this round may miss pairs
+    few = _dealt(alone, masks[:: len(masks) // FIRST])
+    sizes = few.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    few = few.join(sizes, "bucket").withColumn("piece", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / F.lit(most))))
+    found = similar(_pairs(_members(few, "piece"), radius, False))
+    roots = connected_components(found).withColumnRenamed("node", "id")
+    rooted = cut(sets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    return found.unionAll(similar(_candidates(rooted, radius, most)))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST) -> DataFrame:
+    """The rows of docs that are the first of their class, one for each id and text."""
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
+
+    def name(batches):
+        for piece in _sets(batches, shingle):
+            yield _ints([x[0] for x in piece], [x[1] for x in piece], names=["key", "id"])
+
+    marked = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"))
+    named = cut(rows.mapInArrow(name, "key bigint, id bigint").distinct().join(marked.distinct(), "key"))
+    low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("low")
+    sets = cut(named.groupBy("id").agg(low))
+    roots = connected_components(similar_links(rows, shingle, percent, radius, most)).withColumnRenamed("node", "id")
+    keep = sets.join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("low").alias("low")).select(F.col("low.key").alias("__cl_key"))
+    return docs.withColumn("__cl_key", key).join(keep, "__cl_key", "left_semi").dropDuplicates(["__cl_key"]).drop("__cl_key")
 
 
 def op1_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ import corpus_pipeline
 from codeloom.llm import langid, mixing
 from codeloom.llm.common import table
 
-from .test_basic_ops import brute_classes, brute_fp, brute_lines
+from .test_basic_ops import brute_lines
 from .test_model_ops import brute_contaminated
+from .test_near_dedup import brute_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,8 +26,7 @@ def brute(spark, docs, items):
     texts = brute_lines([d["text"] for d in docs])
     docs = [d | {"text": t} for d, t in zip(docs, texts) if t == d["text"] or t.split()]
     left.append(len(docs))
-    root = brute_classes([brute_fp(d["text"]) for d in docs])
-    docs = [d for i, d in enumerate(docs) if root[i] == i]
+    docs = [docs[i] for i in brute_kept([d["text"] for d in docs])]
     left.append(len(docs))
     bad = {i for i, _ in brute_contaminated([(d["doc_id"], d["text"]) for d in docs], items)}
     docs = [d for d in docs if d["doc_id"] not in bad]
