@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontam, langid, linededup, mixing, similar
+from codeloom.llm import decontam, langid, linededup, mixing, simhash
 from codeloom.llm.common import table, work_dir
 
 
@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each class of near-duplicates: five-word similarity of 0.8 or more."""
-    return similar.near_dedup(docs)
+    return simhash.near_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
