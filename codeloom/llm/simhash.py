@@ -34,6 +34,11 @@ of about 16 bits find all of them. It works on distinct sets of shingles.
    those that remain, or hardly hold more than one class, are cut into pieces of
    `most` sets, each with all sets outside of the largest class. No pair is left out.
 
+A pair is a candidate only if its sizes, and the parities of its shingles in 128
+classes, allow the similarity: sets of s shingles together that differ in d of them
+have one of (s - d) / (s + d), and parities that differ in at most d bits. So of many
+texts that are near in words but not similar, no pairs leave the task.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like
 any other; repeated rows share a class; documents whose ids are all null get a
 null class; an empty table gives none; other columns are ignored. near_dedup():
@@ -53,7 +58,7 @@ from pyspark.sql import functions as F
 from .common import U64, chunks, connected_components, cut, joined, run_hashes, table, word_hashes
 
 BITS, FREE = 64, 12
-SHINGLE, PERCENT, NEAR, MOST, DEPTH, FIRST, FEW = 5, 80, 8, 1024, 2, 5, 1 << 17
+SHINGLE, PERCENT, NEAR, MOST, DEPTH, FIRST, FEW, SAMPLE = 5, 80, 8, 1024, 2, 5, 1 << 17, 16
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -193,6 +198,11 @@ def shingle_sets(texts: list[bytes], shingle: int = SHINGLE):
         yield np.unique(own), int(np.packbits(2 * ones > len(once), bitorder="little").view("<i8")[0])
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """The parity of the shingles in each of 128 classes, as two numbers: sets that differ in d shingles differ in at most d bits."""
+    return np.packbits(np.bincount((grams >> U64(57)).astype(np.int64), minlength=128) & 1, bitorder="little").view("<i8")
+
+
 def _sets(batches, shingle: int):
     """Lists of (row key, name of the set, set, fingerprint) in pieces of text."""
     for b in batches:
@@ -200,130 +210,141 @@ def _sets(batches, shingle: int):
             yield [(k, int(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).astype(np.int64)), g, fp) for k, (g, fp) in zip(keys, shingle_sets(texts, shingle))]
 
 
-def _nearest(ids: np.ndarray, fps: np.ndarray, radius: int):
-    """Pairs of each set and its nearest, and its nearest before it, within the radius; in blocks of rows."""
-    at = np.arange(len(ids))
-    for k in range(0, len(ids), 256):
-        own = at[k : k + 256]
-        apart = np.bitwise_count(fps[own, None] ^ fps[None, :]).astype(np.int16)
-        apart[own - k, own] = 99
-        for far in (apart, np.where(at[None, :] < own[:, None], apart, 99)):
-            near = far.argmin(1)
-            some = far[own - k, near] <= radius
-            yield ids[own[some]], ids[near[some]]
-
-
-def _across(ids, fps, root, other, radius: int):
-    """Pairs within the radius of a set marked `other` and any set of another class."""
-    rows = np.flatnonzero(other)
-    for k in range(0, len(rows), 256):
-        own = rows[k : k + 256]
-        i, j = np.nonzero((np.bitwise_count(fps[own, None] ^ fps[None, :]) <= radius) & (root[own, None] != root[None, :]))
-        yield ids[own[i]], ids[j]
-
-
-def _pairs(members: DataFrame, radius: int, whole: bool) -> DataFrame:
-    """(a, b) from lists of members(id, fp, root, other): the nearest ones of each, or all across classes."""
+class _Bucket:
+    """The sets of one bucket, and which pairs of them can be similar."""
+
+    def __init__(self, members, radius: int, percent: int):
+        columns = [members.field(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        order = np.lexsort(columns[:2])
+        self.ids, self.fps, self.root, self.n, *self.parity = (c[order] for c in columns)
+        self.fps, self.parity = self.fps.view(U64), [x.view(U64) for x in self.parity]
+        self.radius, self.percent = radius, percent
+
+    def able(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sizes and parities allow the similarity. Only pairs that can't have it are left out."""
+        n, m, p = self.n[i], self.n[j], self.percent
+        apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in self.parity)
+        return (100 * np.minimum(n, m) >= p * np.maximum(n, m)) & (apart * (100 + p) <= (100 - p) * (n + m))
+
+    def nearest(self):
+        """Pairs of each set and its nearest one, and its nearest one before it, in pieces of MOST sets."""
+        for low in range(0, len(self.ids), MOST):
+            at = np.arange(low, min(low + MOST, len(self.ids)))
+            for k in range(0, len(at), 256):
+                own = at[k : k + 256]
+                apart = np.bitwise_count(self.fps[own, None] ^ self.fps[None, at]).astype(np.int16)
+                apart[np.arange(len(own)), own - low] = 99
+                for far in (apart, np.where(at[None, :] < own[:, None], apart, 99)):
+                    near = far.argmin(1)
+                    some = far[np.arange(len(own)), near] <= self.radius
+                    yield own[some], at[near[some]]
+
+    def across(self, top: int | None):
+        """All pairs of two classes within the radius, of which one set is outside of class `top`."""
+        rows = np.arange(len(self.ids)) if top is None else np.flatnonzero(self.root != top)
+        for k in range(0, len(rows), 256):
+            own = rows[k : k + 256]
+            i, j = np.nonzero(np.bitwise_count(self.fps[own, None] ^ self.fps[None, :]) <= self.radius)
+            i = own[i]
+            some = self.root[i] != self.root[j]
+            yield i[some], j[some]
+
+
+def _pairs(rows: DataFrame, radius: int, percent: int, whole: bool) -> DataFrame:
+    """(a, b) within each bucket and piece of rows: the nearest ones of each set, or all across classes."""
 
     def run(batches):
         for b in batches:
-            for x in b.column(0):
-                ids, fps, root, other = (x.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                order = np.lexsort((ids, fps))
-                ids, fps, root, other = ids[order], fps[order].view(U64), root[order], other[order]
-                if whole:
-                    found = _across(ids, fps, root, other, radius)
-                else:
-                    found = (pair for k in range(0, len(ids), MOST) for pair in _nearest(ids[k : k + MOST], fps[k : k + MOST], radius))
-                for i, j in found:
+            for x, top in zip(b.column(0), b.column(1).to_pylist()):
+                bucket = _Bucket(x.values, radius, percent)
+                for i, j in bucket.across(top) if whole else bucket.nearest():
+                    able = bucket.able(i, j)
+                    i, j = bucket.ids[i[able]], bucket.ids[j[able]]
                     if len(i):
                         yield _ints(np.minimum(i, j), np.maximum(i, j), names=["a", "b"])
 
-    return members.mapInArrow(run, "a bigint, b bigint").distinct()
+    members = F.collect_list(F.struct("id", "fp", "root", "n", "s0", "s1")).alias("members")
+    groups = rows.groupBy("bucket", "piece").agg(members, F.max("top").alias("top")).where("size(members) > 1")
+    return groups.select("members", "top").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _members(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy("bucket", *by).agg(F.collect_list(F.struct("id", "fp", "root", "other")).alias("members")).where("size(members) > 1").select("members")
+def _dealt(rows: DataFrame, masks) -> DataFrame:
+    """rows once for each mask, with the bucket: a hash of mask and masked fingerprint (what collides is only compared in vain)."""
+    rows = rows.withColumn("mask", F.explode(masks))
+    return rows.withColumns({"bucket": F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))), "piece": F.lit(0), "top": F.lit(None).cast("long")})
 
 
-def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """rows once for each mask, with the bucket: a hash of mask and masked fingerprint (what collides is only compared in vain)."""
-    rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-    return rows.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+def _large(rows: DataFrame, most: int) -> DataFrame:
+    """Buckets of more than about `most` sets, from a sixteenth of the sets. Only the way that a bucket is treated depends on it."""
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0) if most >= 64 * SAMPLE else rows
+    share = SAMPLE if most >= 64 * SAMPLE else 1
+    return cut(some.groupBy("bucket").agg((F.count("*") * share).alias("size")).where(F.col("size") > most))
 
 
-def _candidates(sets: DataFrame, radius: int, most: int) -> DataFrame:
-    """(a, b): all pairs of sets(id, fp, root) within the radius whose roots differ."""
-    rows, found = _dealt(sets.withColumn("other", F.lit(True)), half_masks(radius)), None
+def _candidates(sets: DataFrame, radius: int, percent: int, most: int) -> DataFrame:
+    """(a, b): all pairs of sets(id, fp, root) within the radius whose roots differ and that can be similar."""
+    rows, found = _dealt(sets, F.array(*[F.lit(m) for m in half_masks(radius)])), None
     for depth in range(DEPTH + 1):
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        sizes = cut(sizes.where("low < high").select("bucket", "n"))  # a bucket of one class has no pair to give
-        fit = rows.join(sizes.where(F.col("n") <= most), "bucket", "left_semi")
-        found = _pairs(_members(fit), radius, True) if found is None else found.unionAll(_pairs(_members(fit), radius, True))
-        if not sizes.where(F.col("n") > most).limit(1).count():
-            return found.distinct()
-        large = cut(rows.join(sizes.where(F.col("n") > most), "bucket").drop("other"))
-        by_root = large.groupBy("bucket", "root").agg(F.count("*").alias("own"))
-        top = cut(by_root.groupBy("bucket").agg(F.sum("own").alias("all"), F.max(F.struct("own", "root")).alias("top")))
-        large = large.join(top.select("bucket", "all", F.col("top.root").alias("top"), (F.col("all") - F.col("top.own")).alias("rest")), "bucket")
-        done = F.expr(f"rest * n <= {most * most}") | F.lit(depth == DEPTH)
+        large = _large(rows, most)
+        many = large.count()
+        if many and many <= FEW:  # 16 bytes each
+            large = F.broadcast(large)
+        fit = _pairs(rows.join(large, "bucket", "left_anti") if many else rows, radius, percent, True)
+        found = fit if found is None else found.unionAll(fit)
+        if not many:
+            break
+        rest = cut(rows.drop("top").join(large, "bucket"))
+        by_root = rest.groupBy("bucket", "root").agg(F.count("*").alias("own"))
+        top = by_root.groupBy("bucket").agg(F.sum("own").alias("all"), F.max(F.struct("own", "root")).alias("top"))
+        top = cut(top.select("bucket", "all", F.col("top.root").alias("top"), (F.col("all") - F.col("top.own")).alias("others")).where("others > 0"))
+        rest = rest.join(top, "bucket")
+        done = F.expr(f"others * all <= {most * most}") | F.lit(depth == DEPTH)
         # pieces of `most` sets, each with all sets outside of the largest class
-        pieces = F.ceil(F.col("n") / F.lit(most)).cast("int")
-        other = F.col("root") != F.col("top")
+        pieces = F.ceil(F.col("all") / F.lit(most)).cast("int")
         own = F.pmod(F.xxhash64("id"), pieces.cast("long")).cast("int")
-        salted = large.where(done).withColumn("other", other).withColumn("piece", F.explode(F.when(other, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(own))))
-        found = found.unionAll(_pairs(_members(salted, "piece"), radius, True))
-        rest = large.where(~done)
+        salted = rest.where(done).withColumn("piece", F.explode(F.when(F.col("root") != F.col("top"), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(own))))
+        found = found.unionAll(_pairs(salted, radius, percent, True))
+        rest = rest.where(~done)
         masks = [r.mask for r in rest.select("mask").distinct().collect()]  # 46 * (radius + 1)**(DEPTH - 1) at most
         if not masks:
             break
         finer = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(y) for y in _finer(m, radius + 1)]))])
-        rows = rest.select("id", "fp", "root", F.lit(True).alias("other"), F.explode(finer[F.col("mask")]).alias("mask"))
-        rows = cut(rows.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask")))))
+        rows = cut(_dealt(rest.drop("bucket", "piece", "top", "size", "all", "others").withColumn("finer", finer[F.col("mask")]).drop("mask"), F.col("finer")).drop("finer"))
     return found.distinct()
 
 
-def similar_links(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST) -> DataFrame:
-    """(a, b): links between names of sets of rows(key, text) that connect what pairs within the radius and of the similarity connect."""
+def similar_links(rows: DataFrame, sets: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST) -> DataFrame:
+    """(a, b): links between the ids of sets that connect what pairs within the radius and of the similarity connect.
 
-    def prints(batches):
-        for piece in _sets(batches, shingle):
-            once = {name: fp for _, name, grams, fp in piece if len(grams)}
-            yield _ints(list(once), list(once.values()), names=["id", "fp"])
-
-    sets = cut(rows.mapInArrow(prints, "id bigint, fp bigint").groupBy("id").agg(F.min("fp").alias("fp")))
+    rows(key, text); sets(id, key, fp, n, s0, s1): a row of each set, its fingerprint, size and parities.
+    """
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        few = np.sort(wanted.limit(FEW + 1).toArrow().column("id").to_numpy())
-        only = few if len(few) <= FEW else None  # tasks send these sets alone; beyond that a join picks them
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "key"), "id"))
+        keys = wanted.select("key").distinct()
+        if wanted.count() <= FEW:  # 8 bytes each
+            keys = F.broadcast(keys)
 
-        def known(batches):
+        def grams(batches):
             for piece in _sets(batches, shingle):
-                once = {name: grams for _, name, grams, _ in piece if len(grams)}
-                if only is not None:
-                    names = np.fromiter(once, np.int64, len(once))
-                    once = {n: once[n] for n in names[np.isin(names, only)].tolist()}
-                for name, grams in once.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([grams.view(np.int64)], pa.list_(pa.int64()))], ["id", "grams"])
-
-        known = rows.mapInArrow(known, "id bigint, grams array<bigint>")
-        known = cut((known if only is not None else known.join(wanted, "id", "left_semi")).dropDuplicates(["id"]))
+                for _, name, own, _ in piece:
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["id", "grams"])
+
+        known = cut(rows.join(keys, "key", "left_semi").mapInArrow(grams, "id bigint, grams array<bigint>").dropDuplicates(["id"]))
         a, b = (known.select(F.col("id").alias(c), F.col("grams").alias(f"{c}s")) for c in "ab")
         both, all_ = F.size(F.array_intersect("as", "bs")), F.size("as") + F.size("bs")
         return cut(pairs.join(a, "a").join(b, "b").where((100 + percent) * both >= percent * all_).select("a", "b"))
 
     masks = half_masks(radius)
-    alone = sets.withColumns({"root": F.col("id"), "other": F.lit(True)})
-    # an unbounded bucket is cut into hashed pieces here, as this round may miss pairs
-    few = _dealt(alone, masks[:: len(masks) // FIRST])
-    sizes = few.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    few = few.join(sizes, "bucket").withColumn("piece", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / F.lit(most))))
-    found = similar(_pairs(_members(few, "piece"), radius, False))
+    few = _dealt(sets.drop("key").withColumn("root", F.col("id")), F.array(*[F.lit(m) for m in masks[:: len(masks) // FIRST]]))
+    large = _large(few, most)
+    if large.count():  # this round need not find all, so a large bucket is cut into pieces of like fingerprints
+        few = few.join(large, "bucket", "left").withColumn("piece", F.pmod(F.xxhash64("fp"), F.coalesce(F.ceil(F.col("size") / F.lit(most)), F.lit(1))).cast("int"))
+    found = similar(_pairs(few, radius, percent, False))
     roots = connected_components(found).withColumnRenamed("node", "id")
-    rooted = cut(sets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    return found.unionAll(similar(_candidates(rooted, radius, most)))
+    rooted = cut(sets.drop("key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    return found.unionAll(similar(_candidates(rooted, radius, percent, most)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST) -> DataFrame:
@@ -333,14 +354,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def name(batches):
         for piece in _sets(batches, shingle):
-            yield _ints([x[0] for x in piece], [x[1] for x in piece], names=["key", "id"])
+            parity = np.array([parities(g) for _, _, g, _ in piece])
+            yield _ints([x[0] for x in piece], [x[1] for x in piece], [x[3] for x in piece], [len(x[2]) for x in piece], parity[:, 0], parity[:, 1], names=["key", "id", "fp", "n", "s0", "s1"])
 
-    marked = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"))
-    named = cut(rows.mapInArrow(name, "key bigint, id bigint").distinct().join(marked.distinct(), "key"))
+    named = cut(rows.mapInArrow(name, "key bigint, id bigint, fp bigint, n bigint, s0 bigint, s1 bigint"))
+    sets = cut(named.where("n > 0").groupBy("id").agg(*[F.min(c).alias(c) for c in ("key", "fp", "n", "s0", "s1")]))
     low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("low")
-    sets = cut(named.groupBy("id").agg(low))
-    roots = connected_components(similar_links(rows, shingle, percent, radius, most)).withColumnRenamed("node", "id")
-    keep = sets.join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("low").alias("low")).select(F.col("low.key").alias("__cl_key"))
+    marked = docs.select(key.alias("key"), F.col(id_col).alias("doc_id")).distinct()
+    first = cut(named.select("key", "id").distinct().join(marked, "key").groupBy("id").agg(low))
+    roots = connected_components(similar_links(rows, sets, shingle, percent, radius, most)).withColumnRenamed("node", "id")
+    keep = first.join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("low").alias("low")).select(F.col("low.key").alias("__cl_key"))
     return docs.withColumn("__cl_key", key).join(keep, "__cl_key", "left_semi").dropDuplicates(["__cl_key"]).drop("__cl_key")
 
 

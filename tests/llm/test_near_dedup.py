@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -69,6 +70,16 @@ def test_near_dedup_is_whole(spark, most):
     assert gone >= 0.9 * all_ > 10
 
 
+def test_parities_leave_out_no_similar_pair():
+    rnd = random.Random(4)
+    for _ in range(300):
+        a = rnd.sample(range(10**6), rnd.randint(1, 400))
+        b = a[rnd.randint(0, 3) :] + rnd.sample(range(10**6, 2 * 10**6), rnd.randint(0, 9))
+        pair = [simhash.run_hashes(np.array(sorted(x), np.uint64), 1) for x in (a, b)]
+        apart = sum(int(x).bit_count() for x in (simhash.parities(pair[0]) ^ simhash.parities(pair[1])).view(np.uint64))
+        assert apart <= len(set(a) ^ set(b))
+
+
 def test_same_words_in_other_orders(spark):
     """One fingerprint, many sets of shingles: only similar ones are linked, whatever the bucket."""
     rnd = random.Random(3)
