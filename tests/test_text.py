@@ -141,14 +141,14 @@ def test_reports():
     assert reports.envelope("x", {"a": 1}) == '{"ok": true, "kind": "x", "data": {"a": 1}}'
     assert '"ok": false' in reports.error("E", "m")
     checks = [{"check": "boundaries", "passed": False, "n_issues": 1, "first_message": "bad"}, {"check": "policies", "passed": False, "n_issues": 2, "first_message": "x"}, {"check": "typecheck", "passed": True, "n_issues": 0, "first_message": None}]
-    text = reports.ci_markdown({"affected": 12, "score": 0.643, "category": "high", "breaks": 1, "new_cycles": 0, "tests": 2}, checks, [{"path": f"f{k}", "depth": 1, "reason": "r"} for k in range(12)])
-    assert "| Impact radius | 12 files |" in text and "| Risk score | 0.64 high |" in text and "| Policy | failed |" in text
-    assert "**boundaries**: bad" in text and "**policies**: 2 issue(s)" in text and text.count("(depth 1)") == 10
+    text = reports.ci_markdown({"affected": 12, "score": 0.643, "category": "high", "breaks": 1, "new_cycles": 0, "tests": 2}, checks, [{"path": f"f{k}", "depth": 1 + k // 9, "reason": "r"} for k in range(12)])
+    assert text.startswith("# High risk, 0.64\n## Reach [2]\n- files: 12\n") and "- policies: broken" in text
+    assert "- boundaries: bad\n- policies: 2 issues\n- typecheck: none" in text and text.count("step") == 10 and text.endswith("- 2 steps: `f10`, r\n- and 2 more\n")
     out = reports.impact_text("a.ts", [f"s{k}" for k in range(25)], [f"d{k}" for k in range(12)], ["t1"], [{"name": "s0", "kind": "class", "doc": "one\ntwo\nthree"}] * 7, [{"name": "s0", "file_path": "d0", "snippet": "x\ny"}])
-    assert "s19 (+5 more)" in out and "(12)" in out and "d9 (+2 more)" in out and out.count("s0 (class): one two") == 5 and "s0 in d0: x" in out
+    assert "users [12]" in out and "- d9\n- and 2 more" in out and "- s19\n- and 5 more" in out and out.count("s0 | class | one / two") == 5 and "d0 | s0 | x" in out
     assert reports.impact_text("a.ts", [], [], []) == ""
     sym = [{"name": f"n{k}", "kind": "function", "sites": [{"file": "f", "line": i, "snippet": ""} for i in range(4)]} for k in range(12)] + [{"name": "v", "kind": "variable", "sites": [{"file": "f", "line": 1, "snippet": ""}]}]
-    pre = reports.preflight_text("a.ts", {"direct": 3, "risk": "medium"}, sym, ["Run tests: t"])
-    assert pre.count("call sites") == 10 and pre.count("(+1 more)") == 10 and "Run tests: t" in pre and " v:" not in pre
+    pre = reports.preflight_text("a.ts", {"direct": 3, "risk": "medium"}, sym, ["Run tests: t", "If you change 'n1', look", "If you change 'v', look"])
+    assert pre.startswith("a.ts: medium risk, 3 files use it\nto do [2]\n- If you change 'n1', look\n- Run tests: t\n") and pre.count("(function) [4]") == 10 and pre.count("- and 1 more") == 10 and "v (" not in pre
     assert reports.preflight_text("a.ts", {"direct": 0, "risk": "low"}, [], []) == ""
     assert reports.default_layers(["packages/core", "packages/cli/"]) == {"layers": {"cli": {"path": "packages/cli/", "canImport": []}, "core": {"path": "packages/core/", "canImport": []}}}
