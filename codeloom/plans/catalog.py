@@ -308,42 +308,36 @@ def impact_key_refs(g):
     return impact.reference_lines(impact.key_references(g, _paths(g)))
 
 
-#: Transitive queries follow imports alone from a file with importers: occurrences of the derived graph link nearly every pair of files.
 BFS = f"{CH}, bf(path, depth) AS (SELECT node, 0 FROM ch UNION SELECT e.source, bf.depth + 1 FROM bf JOIN edges e ON e.target IN (bf.path, {STEM.format('bf.path')}) WHERE bf.depth < 5), af AS (SELECT path, min(depth)::INT AS depth FROM bf GROUP BY path HAVING min(depth) > 0)"
 
 
-def _sparse(g: Graph) -> Graph:
-    """References to every 40th symbol only, so that searches have several levels."""
-    few = g.occurrences.where("roles & 1 = 1 OR CAST(substr(symbol_id, 5) AS BIGINT) % 40 = 0")
-    return g.having(occurrences=few).stored("occurrences", "edges")
-
-
-SPARSE = "oc AS (SELECT * FROM occurrences WHERE roles & 1 = 1 OR substr(symbol_id, 5)::BIGINT % 40 = 0)"
-FULL = f"{SPARSE}, {CH}, dp AS (SELECT DISTINCT d.file_path AS a, o.file_path AS b FROM oc d JOIN oc o USING (symbol_id) WHERE d.roles & 1 = 1 UNION SELECT f.path, e.source FROM (SELECT path FROM files UNION SELECT source FROM edges) f JOIN edges e ON e.target = f.path UNION SELECT f.path, e.source FROM (SELECT path FROM files UNION SELECT source FROM edges) f JOIN edges e ON e.target = {STEM.format('f.path')}), bf(path, depth) AS (SELECT node, 0 FROM ch UNION SELECT b, depth + 1 FROM bf JOIN dp ON a = path WHERE depth < 3), af AS (SELECT path, min(depth)::INT AS depth FROM bf GROUP BY path HAVING min(depth) > 0)"
+ALL = "oc AS (SELECT * FROM occurrences)"
+FULL = f"{ALL}, {CH}, dp AS (SELECT DISTINCT d.file_path AS a, o.file_path AS b FROM oc d JOIN oc o USING (symbol_id) WHERE d.roles & 1 = 1 UNION SELECT f.path, e.source FROM (SELECT path FROM files UNION SELECT source FROM edges) f JOIN edges e ON e.target = f.path UNION SELECT f.path, e.source FROM (SELECT path FROM files UNION SELECT source FROM edges) f JOIN edges e ON e.target = {STEM.format('f.path')}), bf(path, depth) AS (SELECT node, 0 FROM ch UNION SELECT b, depth + 1 FROM bf JOIN dp ON a = path WHERE depth < 5), af AS (SELECT path, min(depth)::INT AS depth FROM bf GROUP BY path HAVING min(depth) > 0)"
 
 
 @query(f"+{BFS} SELECT path, depth FROM af", "edges")
 def transitive_importers(g):
-    none = g.having(occurrences=g.occurrences.where("roles < 0")).stored("occurrences", "edges")
-    return impact.affected(none, _paths(g)).select("path", "depth")
+    g = g.stored("edges")
+    found = traverse.reach(_paths(g), lambda f: traverse.importers(g, f).select("node", F.lit(0).alias("rank"), "via"), 5)
+    return found.where("depth > 0").select(F.col("node").alias("path"), "depth")
 
 
 @query(f"+{FULL} SELECT path, depth FROM af", "files occurrences edges")
 def transitive_affected_files(g):
-    return impact.affected(_sparse(g), _paths(g), 3).select("path", "depth")
+    return impact.affected(g.stored("occurrences", "edges"), _paths(g)).select("path", "depth")
 
 
 @query(f"+{FULL}, {PKG} SELECT DISTINCT package FROM pk WHERE path IN (SELECT path FROM af UNION SELECT node FROM ch)", "files occurrences edges projects")
 def transitive_packages(g):
-    return impact.transitive(_sparse(g), CHANGED, 3)["packages"]
+    return impact.transitive(g.stored("occurrences", "edges"), CHANGED)["packages"]
 
 
 BREAKS = "pu AS (SELECT id, any_value(name) AS name FROM oc JOIN symbols ON id = symbol_id WHERE roles & 1 = 1 AND oc.file_path IN (SELECT node FROM ch) AND oc.file_path IN (SELECT source FROM edges WHERE kind = 'exports') GROUP BY id), px AS (SELECT path, arg_max(project_id, length(root)) AS package FROM (SELECT DISTINCT file_path AS path FROM oc UNION SELECT node FROM ch) x JOIN projects ON x.path = root OR starts_with(x.path, root || '/') GROUP BY 1), br AS (SELECT id, name, array_to_string(list_sort(list(DISTINCT package)), ',') AS downstream FROM pu JOIN oc ON symbol_id = id JOIN px ON path = file_path WHERE roles & 1 = 0 AND package NOT IN (SELECT package FROM px WHERE path IN (SELECT node FROM ch)) GROUP BY ALL)"
 
 
-@query(f"+{SPARSE}, {CH}, {BREAKS} SELECT id, name, downstream FROM br".replace("GROUP BY ALL", "GROUP BY id, name"), "symbols occurrences edges projects")
+@query(f"+{ALL}, {CH}, {BREAKS} SELECT id, name, downstream FROM br".replace("GROUP BY ALL", "GROUP BY id, name"), "symbols occurrences edges projects")
 def transitive_api_breaks(g):
-    return impact.api_breaks(_sparse(g), _paths(g)).withColumn("downstream", F.array_join("downstream", ","))
+    return impact.api_breaks(g, _paths(g)).withColumn("downstream", F.array_join("downstream", ","))
 
 
 @query(f"""+{FULL}, {PKG}, {BREAKS.replace('GROUP BY ALL', 'GROUP BY id, name')}, k AS (SELECT (SELECT count(*) FROM af) AS affected, (SELECT count(*) FROM af WHERE NOT regexp_matches(path, '{TEST_SQL}')) AS untested,
@@ -351,21 +345,20 @@ def transitive_api_breaks(g):
 x AS (SELECT *, least(greatest(0.25::DOUBLE * (affected / files) + 0.30::DOUBLE * least(breaks / 3.0::DOUBLE, 1.0) + 0.15::DOUBLE * (packages / projects) + 0.20::DOUBLE * (CASE WHEN affected > 0 THEN untested / affected ELSE 0 END) + 0.10::DOUBLE * (CASE WHEN public > 0 THEN least(breaks / public, 1.0) ELSE 0 END), 0), 1) AS x FROM k)
 SELECT affected, untested, packages, breaks, floor(x * 1000 + 0.5) / 1000 AS score, CASE WHEN x < 0.3 THEN 'low' WHEN x < 0.6 THEN 'medium' WHEN x < 0.8 THEN 'high' ELSE 'critical' END AS category, CASE WHEN breaks <= 0 THEN 'none' WHEN breaks < 2 THEN 'low' WHEN breaks < 5 THEN 'medium' ELSE 'high' END AS boundary_risk FROM x""", "files symbols occurrences edges projects")
 def transitive_risk(g):
-    return impact.transitive(_sparse(g), CHANGED, 3)["risk"]
+    return impact.transitive(g.stored("occurrences", "edges"), CHANGED)["risk"]
 
 
 @query(f"+{FULL} SELECT path, CASE WHEN depth <= 1 THEN 'direct' ELSE 'transitive' END AS relevance FROM af WHERE regexp_matches(path, '{TEST_SQL}') UNION ALL SELECT node, 'direct' FROM ch WHERE regexp_matches(node, '{TEST_SQL}')", "files occurrences edges")
 def transitive_tests(g):
-    return impact.transitive(_sparse(g), CHANGED, 3)["tests"]
+    return impact.transitive(g.stored("occurrences", "edges"), CHANGED)["tests"]
 
 
-CALLING = f"{CH}, dc AS (SELECT DISTINCT file_path AS a, symbol_id FROM occurrences WHERE roles & 1 = 1), nx AS (SELECT a, o.file_path AS b FROM dc JOIN occurrences o USING (symbol_id) WHERE roles & 1 = 1 UNION SELECT a, s.file_path FROM dc JOIN edges e ON e.target = dc.symbol_id AND e.kind = 'calls' JOIN symbols s ON s.id = e.source UNION SELECT p.path, e.source FROM (SELECT path FROM files UNION SELECT file_path FROM symbols) p JOIN edges e ON e.target IN (p.path, {STEM.format('p.path')})), bf(path, depth) AS (SELECT node, 0 FROM ch UNION SELECT b, depth + 1 FROM bf JOIN nx ON a = path WHERE depth < 2)"
+CALLING = f"{CH}, dc AS (SELECT DISTINCT file_path AS a, symbol_id FROM occurrences WHERE roles & 1 = 1), nx AS (SELECT a, o.file_path AS b FROM dc JOIN occurrences o USING (symbol_id) UNION SELECT a, s.file_path FROM dc JOIN edges e ON e.target = dc.symbol_id AND e.kind = 'calls' JOIN symbols s ON s.id = e.source UNION SELECT p.path, e.source FROM (SELECT path FROM files UNION SELECT file_path FROM symbols) p JOIN edges e ON e.target IN (p.path, {STEM.format('p.path')})), bf(path, depth) AS (SELECT node, 0 FROM ch UNION SELECT b, depth + 1 FROM bf JOIN nx ON a = path WHERE depth < 5)"
 
 
 @query(f"+{CALLING} SELECT path, min(depth)::INT AS depth FROM bf GROUP BY path HAVING min(depth) > 0", "files symbols occurrences edges")
 def transitive_callers(g):
-    only = g.having(occurrences=g.occurrences.where("roles & 1 = 1")).stored("occurrences", "edges")
-    return impact.affected(only, _paths(g), 2, True).select("path", "depth")
+    return impact.affected(g.stored("occurrences", "edges"), _paths(g), call_graph=True).select("path", "depth")
 
 
 @query(f"+{CH}, i AS (SELECT DISTINCT symbol_id FROM occurrences WHERE roles & 1 = 1 AND file_path IN (SELECT node FROM ch)) SELECT id, name, kind, doc, coalesce((range_start >> 16)::INT, 0) AS start_line, coalesce((range_end >> 16)::INT, 0) AS end_line FROM symbols WHERE id IN (SELECT symbol_id FROM i)", "symbols occurrences")
@@ -403,11 +396,25 @@ def metrics_diff_api(g):
     return metrics.diff_api(metrics.api_surface(g), metrics.api_surface(_old(g)))
 
 
-@query(f"+{PKG}, a1 AS (SELECT coalesce(package, 'unknown') AS package, count(*) AS c, count(*) FILTER (NOT starts_with(source, 'src/n1')) AS p FROM edges LEFT JOIN pk ON path = source WHERE kind = 'exports' GROUP BY 1) SELECT 'API_GROWTH' AS type, package AS subject, 'public API grew by ' || (c - p) AS message FROM a1 WHERE c - p > 10", "files edges projects")
-def policy_violations(g):
+RULES = {"deny_new_cycles": True, "max_public_api_growth": 10, "max_coupling_increase": 0.3}
+POLICIES = (
+    SCC.format("edges") + ", " + SCC.format(OLD).replace("im ", "im2 ").replace("im.", "im2.").replace("reach", "reach2").replace("cy ", "cy2 ").replace("cs AS", "cs2 AS")
+    + ", " + COUPLING.format("edges") + ", " + COUPLING.format(OLD).replace("i AS", "i2 AS").replace("FROM i ", "FROM i2 ").replace("cp AS", "c2 AS") + ", " + PKG
+    + """, a1 AS (SELECT coalesce(package, 'unknown') AS package, count(*) AS c, count(*) FILTER (NOT starts_with(source, 'src/n1')) AS p FROM edges LEFT JOIN pk ON path = source WHERE kind = 'exports' GROUP BY 1),
+mx AS (SELECT module, unnest(['ca', 'ce', 'instability']) AS metric, unnest([c2.ca, c2.ce, c2.instability]::DOUBLE[]) AS previous, unnest([cp.ca, cp.ce, cp.instability]::DOUBLE[]) AS current FROM cp JOIN c2 USING (module)),
+po AS (SELECT 'NEW_CYCLE' AS type, array_to_string(members, ' -> ') AS subject FROM cs WHERE members NOT IN (SELECT members FROM cs2)
+  UNION ALL SELECT 'API_GROWTH', package FROM a1 WHERE c - p > 10 UNION ALL SELECT 'COUPLING_INCREASE', module FROM mx WHERE floor((current - previous) * 1000 + 0.5) / 1000 > 0.3)"""
+)
+
+
+def _before(g: Graph) -> dict[str, DataFrame]:
     old = _old(g)
-    before = {"cycles": None, "api": metrics.api_surface(old), "coupling": None}
-    return verify.policies(g, {"max_public_api_growth": 10}, before).select("type", "subject", "message")
+    return {"cycles": metrics.cycles(old), "api": metrics.api_surface(old), "coupling": metrics.coupling(old)}
+
+
+@query(f"+{POLICIES} SELECT type, subject FROM po", "files edges projects")
+def policy_violations(g):
+    return verify.policies(g, RULES, _before(g)).select("type", "subject")
 
 
 @query("SELECT 'index_freshness' AS check, 'STALE_INDEX' AS type, path AS subject, 'changed after the last index: ' || path AS message FROM dirty WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|py)$') AND changed_at > 899000000000", "dirty")
@@ -415,14 +422,6 @@ def freshness_issues(g):
     return verify.freshness(g)
 
 
-@query(f"""+{LAYERS}, s AS (SELECT 'index_freshness' AS "check", count(*) AS n FROM dirty WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|py)$') AND changed_at > 899000000000
-UNION ALL SELECT 'boundaries', count(*) FROM edges JOIN lp a ON a.path = source JOIN lp b ON b.path = target JOIN ly ON ly.layer = a.layer WHERE kind = 'imports' AND a.layer <> b.layer AND NOT list_contains(can, b.layer)
-UNION ALL SELECT 'missing_tests', CASE WHEN max(CASE WHEN event = 'edit' THEN id END) IS NULL OR max(CASE WHEN event = 'test_run' THEN id END) > max(CASE WHEN event = 'edit' THEN id END) THEN 0 ELSE 1 END FROM ledger UNION ALL SELECT 'typecheck', 0 UNION ALL SELECT 'policies', 0)
-SELECT "check", n AS n_issues, n = 0 AS passed FROM s""", "edges dirty ledger")
-def verify_summary(g):
-    return verify.summary(verify.verify(g, _layers(g))).drop("first_message")
-
-
 # --- context and preflight ---------------------------------------------------------------
 
 
@@ -438,15 +437,16 @@ c{d} AS (SELECT arg_min(f.path, e.no) AS node, 0 AS rank, via, '' AS sym, 1.0::D
 v{d} AS (SELECT node, {d} AS depth, arg_min({w} * w * {test}, (rank, via, sym)) AS priority, arg_min(reason, (rank, via, sym)) AS reason FROM c{d} WHERE node NOT IN (SELECT node FROM k{d}) AND (SELECT count(*) FROM k{d}) < {context.MOST if d > 1 else 1 << 30} GROUP BY node)"""
 
 
-CONTEXT = f"""{SPARSE}, v0 AS (SELECT path AS node, 0 AS depth, 1.0::DOUBLE AS priority, 'entry file' AS reason FROM files WHERE path = '{FILE}'),
+CONTEXT = f"""{ALL}, v0 AS (SELECT path AS node, 0 AS depth, 1.0::DOUBLE AS priority, 'entry file' AS reason FROM files WHERE path = '{FILE}'),
 {_level(1)},
 {_level(2)},
-cx AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2)"""
+{_level(3)},
+cx AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3)"""
 
 
 @query(f"+{CONTEXT} SELECT node AS path, depth, round(priority, 6) AS priority, reason FROM cx", "files occurrences edges")
 def context_bfs(g):
-    return context.discover(_sparse(g), [FILE], 2).withColumn("priority", F.round("priority", 6))
+    return context.discover(g.stored("occurrences", "edges"), [FILE]).withColumn("priority", F.round("priority", 6))
 
 
 #: The fold over the ordered files, one step of the recursion for each.
@@ -459,7 +459,7 @@ fd AS (SELECT 0 AS pos, '' AS path, 0.0::DOUBLE AS priority, 0 AS depth, '' AS m
 
 @query(f"+{CONTEXT}, {BUDGET} SELECT pos, path, round(priority, 6) AS priority, depth, mode, tokens, total FROM fd WHERE pos > 0", "files symbols occurrences edges contents")
 def context_budget(g):
-    return context.compile_context(_sparse(g), [FILE], 2, 8000).withColumn("priority", F.round("priority", 6))
+    return context.compile_context(g.stored("occurrences", "edges"), [FILE], budget=8000).withColumn("priority", F.round("priority", 6))
 
 
 @query(f"SELECT s.id, name, kind, coalesce(bool_or(o.file_path <> '{FILE}'), false) AS is_exported, count(*) FILTER (o.file_path <> '{FILE}') AS n_call_sites, coalesce(array_to_string(list_sort(list(DISTINCT o.file_path) FILTER (regexp_matches(o.file_path, '{TEST_SQL}'))), ','), '') AS test_files FROM symbols s LEFT JOIN occurrences o ON o.symbol_id = s.id AND roles & 1 = 0 WHERE s.file_path = '{FILE}' GROUP BY s.id, name, kind", "symbols occurrences")
@@ -477,9 +477,9 @@ def preflight_checklist(g):
     return preflight.checklist(g, FILE, True).where("no = 1").select("name", "text")
 
 
-@query(f"+{SPARSE} SELECT symbol_id, oc.file_path AS file, (oc.range_start >> 16)::INT AS line FROM oc JOIN symbols s ON s.id = symbol_id WHERE roles & 1 = 0 AND s.file_path = 'src/n0/s0.ts' AND oc.file_path <> 'src/n0/s0.ts'", "symbols occurrences")
+@query(f"+{ALL} SELECT symbol_id, oc.file_path AS file, (oc.range_start >> 16)::INT AS line FROM oc JOIN symbols s ON s.id = symbol_id WHERE roles & 1 = 0 AND s.file_path = 'src/n0/s0.ts' AND oc.file_path <> 'src/n0/s0.ts'", "symbols occurrences")
 def preflight_call_sites(g):
-    return preflight.call_sites(_sparse(g), "src/n0/s0.ts").select("symbol_id", "file", "line")
+    return preflight.call_sites(g, "src/n0/s0.ts").select("symbol_id", "file", "line")
 
 
 @query(f"+{LAYERS} SELECT a.layer, array_to_string(any_value(can), ',') AS can_import, coalesce(array_to_string(list_sort(list(DISTINCT e.target)), ','), '') AS broken FROM (SELECT 'two' AS layer) a JOIN ly USING (layer) LEFT JOIN (SELECT target, 'two' AS layer FROM edges JOIN lp b ON b.path = target WHERE kind = 'imports' AND source = 'src/n2/s52.go' AND b.layer <> 'two') e USING (layer) GROUP BY 1", "edges")
@@ -489,7 +489,7 @@ def preflight_boundary(g):
 
 @query(f"+{CONTEXT}, {BUDGET} SELECT count(*) AS files, max(total)::BIGINT AS tokens, bool_or(mode = 'signatures') AS truncated, count(DISTINCT string_split(path, '/')[1] || '/' || string_split(path, '/')[2]) AS packages, count(*) FILTER (regexp_matches(path, '{TEST_SQL}')) AS tests FROM fd WHERE pos > 0", "files symbols occurrences edges contents")
 def context_summary(g):
-    return context.summary(context.compile_context(_sparse(g), [FILE], 2, 8000))
+    return context.summary(context.compile_context(g.stored("occurrences", "edges"), [FILE], budget=8000))
 
 
 # --- feeds ------------------------------------------------------------------------------
@@ -536,7 +536,7 @@ def token_estimate_and_hash(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", token_estimate(F.col("text")).alias("tokens"), content_hash(F.col("text")).alias("hash"))
 
 
-SECRETS = "'AKIA' || upper(substr(HASH, 1, 16)) || ' ghp_' || substr(HASH, 1, 20) || ' postgres://u:p@h/' || doc_id || ' Bearer ' || HASH || ' API_TOKEN=' || HASH || ' ' || substr(text, 1, 200)"
+SECRETS = "'AKIA' || upper(substr(HASH, 1, 16)) || ' ghp_' || substr(HASH, 1, 20) || ' postgres://u:p@h/' || doc_id || ' Bearer ' || HASH || ' API_TOKEN=' || HASH || ' ' || text"
 
 
 @query("SELECT doc_id, " + "".join(f"regexp_replace(" for _ in fixed.SECRETS) + SECRETS.replace("HASH", "sha256(text)") + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', '{r.replace('$1', chr(92) + '1')}', 'g')" for p, r in fixed.SECRETS) + " AS text FROM documents", raw=True)
@@ -548,22 +548,12 @@ def _corpus(spark, rows, names):
     return spark.createDataFrame(rows, names)
 
 
-@query(samples.imports_sql(), raw=True)
-def import_extraction(spark, sf_dir):
-    return extract_imports(_corpus(spark, samples.CODE, "path string, language string, content string")).select("path", "specifier", "kind")
-
-
 @query(samples.resolve_sql(), raw=True)
 def import_resolution(spark, sf_dir):
     rows = _corpus(spark, samples.RESOLVE, "path string, language string, specifier string, target string").drop("target")
     return resolve(rows.select("path", "language", F.lit(0).alias("no"), "specifier", F.lit("import").alias("kind")), _corpus(spark, [(k,) for k in samples.KNOWN], "path string")).select("path", "language", "specifier", "target")
 
 
-@query(samples.symbols_sql(), raw=True)
-def scip_symbol_names(spark, sf_dir):
-    return _corpus(spark, [(s,) for s, _, _ in samples.SYMBOLS], "symbol string").select("symbol", S.short_name(F.col("symbol")).alias("name"), S.inferred_kind(F.col("symbol")).alias("kind"))
-
-
 @query(samples.artifact_sql(), raw=True)
 def artifact_symbols(spark, sf_dir):
     return artifacts.extract(_corpus(spark, samples.ARTIFACTS, "path string, content string")).select("id", "kind", "file_path", "line")
@@ -575,11 +565,6 @@ def config_refs(spark, sf_dir):
     return artifacts.config_references(_corpus(spark, samples.USES, "path string, content string"), found).select("source", "target", "confidence")
 
 
-@query(samples.tsc_sql(), raw=True)
-def tsc_parse(spark, sf_dir):
-    return compilers.tsc(_corpus(spark, [(0, samples.TSC)], "log_id int, output string"), "/repo").select("file", "line", "col", "code")
-
-
 @query(f"SELECT path, {STEM.format('path')} AS stem, regexp_matches(path, '{TEST_SQL}') AS is_test, CASE WHEN path LIKE '%.py' THEN 'pytest ' || path WHEN path LIKE '%.java' THEN 'mvn test -pl ' || regexp_replace(path, '/src/.*', '') ELSE 'vitest run ' || path END AS command FROM files", "files")
 def path_functions(g):
     p = F.col("path")
@@ -592,21 +577,6 @@ def path_normalize(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", normalize(F.concat(F.lit("./a/b/.././"), (k % 7).cast("string"), F.lit("//x/../c"))).alias("path"))
 
 
-@query(samples.go_sql(), raw=True)
-def go_vet_parse(spark, sf_dir):
-    return compilers.go_vet(_corpus(spark, [(0, samples.GO)], "log_id int, output string")).select("file", "line", "col", "code")
-
-
-@query(samples.cargo_sql(), raw=True)
-def cargo_parse(spark, sf_dir):
-    return compilers.cargo(_corpus(spark, [(0, samples.CARGO)], "log_id int, output string")).select("file", "line", "col", "code")
-
-
-@query(samples.generic_sql(), raw=True)
-def generic_parse(spark, sf_dir):
-    return compilers.generic(_corpus(spark, [(0, samples.GENERIC)], "log_id int, output string")).select("file", "line", "col")
-
-
 @query(samples.projects_sql(), raw=True)
 def detect_projects(spark, sf_dir):
     listing = _corpus(spark, [(p,) for p in samples.LISTING], "path string")
@@ -626,8 +596,144 @@ def structural_update(spark, sf_dir):
     return changes.update(graph_of(spark, files=stored), walked, 2).edges.where("kind = 'imports'").groupBy("source").agg(F.count("*").alias("imports"))
 
 
-@query("SELECT l_returnflag AS file, count(*) AS errors FROM lineitem WHERE l_quantity > 49 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", raw=True)
+# --- symbol strings, source text and compiler output made of whole tables --------------
+
+SYMBOL_SQL = "'scip-x npm pkg 1.0.0 src/`f' || p_partkey || '.ts`/' || CASE p_partkey % 7 WHEN 0 THEN 'Name' || p_partkey || '#' WHEN 1 THEN 'Name#meth' || p_partkey || '().' WHEN 2 THEN 'fn' || p_partkey || '().' WHEN 3 THEN 'var' || p_partkey || '.' WHEN 4 THEN 'fn().(arg' || p_partkey || ')' WHEN 5 THEN 'T' || p_partkey || '#[P]' ELSE '' END"
+
+
+@query(f"""SELECT symbol, coalesce(regexp_extract_all(replace(symbol, '#', '##'), '[/#]([A-Za-z_$][A-Za-z0-9_$]*)(?:\\(\\))?[.#]', 1)[-1], translate(list_filter(string_split_regex(symbol, '[\\s/]'), lambda x: x <> '' AND NOT starts_with(x, '`'))[-1], '()#.', '')) AS name,
+CASE WHEN regexp_matches(symbol, '{fixed.PARAMETER_SUFFIX}') THEN 'parameter' WHEN regexp_matches(symbol, '{fixed.TYPE_PARAMETER_SUFFIX}') THEN 'type_parameter' WHEN symbol LIKE '%#' THEN 'class' WHEN regexp_matches(symbol, '{fixed.METHOD_SUFFIX}') THEN 'method' WHEN regexp_matches(symbol, '{fixed.FUNCTION_SUFFIX}') THEN 'function' WHEN symbol LIKE '%.' THEN 'variable' END AS kind
+FROM (SELECT {SYMBOL_SQL} AS symbol FROM part WHERE p_partkey % 7 < 6)""", raw=True)
+def scip_symbol_names(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 7 < 6").select(F.expr(SYMBOL_SQL).alias("symbol"))  # form 6 is none
+    return rows.select("symbol", S.short_name(F.col("symbol")).alias("name"), S.inferred_kind(F.col("symbol")).alias("kind"))
+
+
+LANGUAGES = ["typescript", "python", "rust", "java", "scala", "csharp", "ruby", "go"]
+IMPORT_LANGUAGE = "CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(LANGUAGES)) + " END"
+CODE = {
+    "typescript": ["import a, b from './no'", "import {{ x as y }} from './a{k}'", "export * as n from \"../b{k}\"", "const c = require('c{k}')", "import 'side{k}';", "const d = await import('./d{k}')"],
+    "python": ["import os.m{k}", "from pkg{k}.x import y", "from .r{k} import z", "  import indented"],
+    "rust": ["use crate::a{k}::b;", "mod m{k};", "extern crate c{k};", "use std::io::{{Read, Write}};"],
+    "java": ["import java.u{k}.List;", "import static a.b{k}.*;", "class X {{}}"],
+    "scala": ["import a{k}.b._", "import c{k}.{{D, E}}"],
+    "csharp": ["using System.N{k};", "using static A{k}.B;", "using Z = C{k}.D;"],
+    "ruby": ["require 'r{k}'", "require_relative './s{k}'", "load 'l{k}.rb'"],
+    "go": ["package m", "import \"fmt{k}\"", "import (", "  \"os\"", "  al \"x/y{k}\"", ")"],
+}
+
+
+def _code_sql(join: str) -> str:
+    """The content of part's file as SQL."""
+    quote = lambda t: "'" + t.format(k="@@").replace("'", "' || chr(39) || '").replace("@@", "' || p_partkey || '") + "'"
+    return "CASE p_partkey % 8 " + " ".join(f"WHEN {n} THEN " + f" || {join} || ".join(quote(t) for t in CODE[x]) for n, x in enumerate(LANGUAGES)) + " END"
+
+
+def _all_of(pattern: str, of: str = "content", group: int = 1) -> str:
+    return f"regexp_extract_all({of}, '{pattern.replace(chr(39), chr(39) * 2)}', {group})"
+
+
+def _imports_case() -> str:
+    own = lambda p: f"list_transform({_all_of(p)}, lambda x: {{'s': x, 'k': 'import'}})"
+    static = f"list_transform(range(1, len({_all_of(fixed.TS_IMPORT)}) + 1), lambda i: {{'s': ({_all_of(fixed.TS_IMPORT)})[i], 'k': CASE WHEN starts_with(({_all_of(fixed.TS_IMPORT, group=0)})[i], 'export') THEN 'export' ELSE 'import' END}})"
+    fresh = lambda p: f"list_transform(list_filter({_all_of(p)}, lambda x: NOT list_contains({_all_of(fixed.TS_IMPORT)} || {_all_of(fixed.TS_REQUIRE)}, x)), lambda x: {{'s': x, 'k': 'import'}})"
+    cases = {"typescript": " || ".join([static, own(fixed.TS_REQUIRE), fresh(fixed.TS_SIDE_EFFECT), fresh(fixed.TS_DYNAMIC_IMPORT)])}
+    block = f"list_transform({_all_of(fixed.GO_IMPORT_LINE, f'array_to_string({_all_of(fixed.GO_IMPORT_BLOCK)}, chr(10))')}, lambda x: {{'s': x, 'k': 'import'}})"
+    cases["go"] = f"{own(fixed.GO_IMPORT_SINGLE)} || {block}"
+    cases |= {name: " || ".join(map(own, patterns)) for name, patterns in fixed.IMPORTS.items()}
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cases.items()) + " END"
+
+
+@query(f"SELECT path, e.s AS specifier, e.k AS kind FROM (SELECT path, unnest({_imports_case()}) AS e FROM (SELECT 'f' || p_partkey AS path, {IMPORT_LANGUAGE} AS language, {_code_sql('chr(10)')} AS content FROM part))", raw=True)
+def import_extraction(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("'f' || p_partkey").alias("path"), F.expr(IMPORT_LANGUAGE).alias("language"), F.expr(_code_sql("chr(10)")).alias("content"))
+    return extract_imports(rows).select("path", "specifier", "kind")
+
+
+K = "CAST(l_partkey AS STRING)"
+AT = ("CAST(l_linenumber AS STRING)", "CAST(CAST(l_quantity AS INT) AS STRING)")
+#: A line of output for each order line; most are errors.
+LOGS = {
+    "tsc": f"CASE l_returnflag WHEN 'N' THEN 'noise ' || {K} ELSE CASE l_returnflag WHEN 'R' THEN '/repo/' ELSE './' END || 'src/f' || CAST(l_partkey % 9 AS STRING) || '.ts(' || {AT[0]} || ',' || {AT[1]} || '): error TS' || CASE l_linenumber WHEN 1 THEN '2304' WHEN 2 THEN '2305' ELSE '2345' END || ': Module ' || chr(39) || 'm' || chr(39) || ' has no ' || chr(39) || 'v' || {K} || chr(39) || '.' END",
+    "go": f"CASE l_returnflag WHEN 'N' THEN '# pkg' ELSE './pkg/f' || {K} || '.go:' || {AT[0]} || ':' || {AT[1]} || ': undefined: x' END",
+    "cargo": f"CASE l_returnflag WHEN 'N' THEN '' ELSE 'error[E0' || {AT[1]} || ']: mismatched' || chr(10) END || '  --> src/f' || {K} || '.rs:' || {AT[0]} || ':' || {AT[1]}",
+    "generic": f"CASE l_returnflag WHEN 'N' THEN 'F.java:1: warning' WHEN 'R' THEN 'F' || {K} || '.java:' || {AT[0]} || ': error: missing' ELSE 'F' || {K} || '.cs(' || {AT[0]} || ',' || {AT[1]} || '): error CS1002: ; expected' END",
+}
+
+
+def _logs(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
+    """A log for each supplier."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("log_id"), "l_orderkey", "l_linenumber", F.expr(LOGS[tool]).alias("line"))
+    lines = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "line")))
+    return rows.groupBy("log_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("output"))
+
+
+def _log_sql(tool: str, wanted: str, pattern: str) -> str:
+    """The first MOST_ERRORS wanted lines of each log, with the groups of the pattern."""
+    p = pattern.replace("'", "''")
+    groups = ", ".join(f"regexp_extract(trim(line), '{p}', {k}) AS g{k}" for k in range(1, 4))
+    whole = LOGS[tool].replace("AS STRING", "AS VARCHAR")
+    return f"""wh AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, whole) AS no FROM (SELECT l_suppkey AS log_id, l_orderkey, l_linenumber, {whole} AS whole FROM lineitem)),
+ln AS (SELECT log_id, no, k, line, lag(line) OVER (PARTITION BY log_id ORDER BY no, k) AS prior FROM (SELECT log_id, no, unnest(string_split(whole, chr(10))) AS line, unnest(range(len(string_split(whole, chr(10))))) AS k FROM wh)),
+er AS (SELECT *, {groups}, regexp_extract(trim(line), '{p}', {4 if tool == 'tsc' else 0}) AS g4 FROM ln WHERE {wanted} QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY no, k) <= {fixed.MOST_ERRORS}),
+pl AS (SELECT *, regexp_replace(regexp_replace(g1, '^/repo/', ''), '^\\./', '') AS file FROM er)"""
+
+
+def _holds(text: str) -> str:
+    return f"contains(line, '{text}')"
+
+
+FOUND = 'log_id, file, g2::INT AS line, coalesce(try_cast(g3 AS INT), 0) AS col'
+IMPACT_QUERY = f"'{compilers.TOOL} impact ' || file AS queries"
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("log_id", "file", "line", "col", "code", F.array_join("queries", ";").alias("queries"))
+
+
+@query(f"WITH {_log_sql('tsc', _holds('error TS'), fixed.TSC_ERROR)} SELECT {FOUND}, g4 AS code, '{compilers.TOOL} impact ' || file || ';{compilers.TOOL} search ' || CASE g4 WHEN 'TS2305' THEN regexp_extract(line, 'no .(\\w+)', 1) ELSE 'm' END AS queries FROM pl", raw=True)
+def tsc_parse(spark, sf_dir):
+    return _found(compilers.tsc(_logs(spark, sf_dir, "tsc"), "/repo"))
+
+
+@query(f"WITH {_log_sql('go', _holds('.go:'), fixed.GO_VET_ERROR)} SELECT {FOUND}, 'GO_VET' AS code, {IMPACT_QUERY} FROM pl", raw=True)
+def go_vet_parse(spark, sf_dir):
+    return _found(compilers.go_vet(_logs(spark, sf_dir, "go")))
+
+
+@query(f"WITH {_log_sql('cargo', _holds('-->'), fixed.CARGO_PLACE)} SELECT {FOUND}, coalesce(regexp_extract(prior, '^error.([A-Z][0-9]+).', 1), '') AS code, {IMPACT_QUERY} FROM pl", raw=True)
+def cargo_parse(spark, sf_dir):
+    return _found(compilers.cargo(_logs(spark, sf_dir, "cargo")))
+
+
+@query(f"WITH {_log_sql('generic', _holds('error'), fixed.GENERIC_ERROR)} SELECT {FOUND}, '' AS code, {IMPACT_QUERY} FROM pl", raw=True)
+def generic_parse(spark, sf_dir):
+    return _found(compilers.generic(_logs(spark, sf_dir, "generic")))
+
+
+def _all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived(spark, sf_dir).stored("edges")
+    return verify.verify(g, _layers(g), RULES, _before(g), _logs(spark, sf_dir, "tsc").withColumn("tool", F.lit("tsc")))
+
+
+TYPECHECK = _log_sql("tsc", "contains(line, 'error TS')", fixed.TSC_ERROR)
+
+
+@query("WITH RECURSIVE " + oracle_tables("files", "edges", "dirty", "ledger", "projects") + f""", {POLICIES}, {LAYERS}, {TYPECHECK}, s AS (SELECT 'index_freshness' AS "check", count(*) AS n FROM dirty WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|py)$') AND changed_at > 899000000000
+UNION ALL SELECT 'boundaries', count(*) FROM edges JOIN lp a ON a.path = source JOIN lp b ON b.path = target JOIN ly ON ly.layer = a.layer WHERE kind = 'imports' AND a.layer <> b.layer AND NOT list_contains(can, b.layer)
+UNION ALL SELECT 'missing_tests', CASE WHEN max(CASE WHEN event = 'edit' THEN id END) IS NULL OR max(CASE WHEN event = 'test_run' THEN id END) > max(CASE WHEN event = 'edit' THEN id END) THEN 0 ELSE 1 END FROM ledger
+UNION ALL SELECT 'typecheck', count(*) FROM pl UNION ALL SELECT 'policies', count(*) FROM po)
+SELECT "check", n AS n_issues, n = 0 AS passed FROM s""", raw=True)
+def verify_summary(spark, sf_dir):
+    return verify.summary(_all_issues(spark, sf_dir)).drop("first_message")
+
+
+@query(f"WITH {TYPECHECK} SELECT file, count(*) AS errors FROM pl GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", raw=True)
 def worst_files(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 49")
-    issues = rows.select(F.lit("typecheck").alias("check"), F.lit("TYPE_ERROR").alias("type"), F.col("l_returnflag").alias("subject"), F.lit("x").alias("message"))
-    return verify.worst_files(issues).withColumnRenamed("subject", "file")
+    logs = _logs(spark, sf_dir, "tsc").withColumn("tool", F.lit("tsc"))
+    return verify.worst_files(verify.typecheck(logs.withColumn("output", F.replace("output", F.lit("/repo/"), F.lit(""))))).withColumnRenamed("subject", "file")
+
+
+@query("SELECT id, timestamp, event FROM ledger WHERE id > 5 ORDER BY id", "ledger")
+def ledger_in_order(g):
+    return lookup.events_after(g.ledger, 0).where("id > 5").select("id", "timestamp", "event").orderBy("id")

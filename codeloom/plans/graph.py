@@ -68,11 +68,11 @@ DERIVED = {
         CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 8 ELSE 4 END FROM lineitem) u GROUP BY file_path, range_start, symbol_id""",
     "edges": f"""SELECT DISTINCT {file_sql('a.l_suppkey')} AS source, CASE WHEN b.l_suppkey % 7 = 0 THEN {stem_sql('b.l_suppkey')} ELSE {file_sql('b.l_suppkey')} END AS target, 'imports' AS kind, 'structural' AS confidence
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
-      WHERE a.l_quantity >= 46 AND b.l_quantity >= 46 AND a.l_orderkey % 3 = 0 AND a.l_suppkey <> b.l_suppkey
+      WHERE a.l_suppkey <> b.l_suppkey
       UNION ALL SELECT {file_sql('(p_partkey % N)')}, 'sym:' || p_partkey, 'exports', 'high' FROM part JOIN supplier ON s_suppkey = p_partkey % N WHERE s_acctbal > 5000
       UNION ALL SELECT DISTINCT 'sym:' || a.l_partkey, 'sym:' || b.l_partkey, 'calls', 'approximate'
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
-      WHERE a.l_quantity >= 40 AND b.l_quantity >= 40 AND a.l_orderkey % 5 = 0 AND a.l_partkey <> b.l_partkey""",
+      WHERE a.l_partkey <> b.l_partkey""",
     "projects": "SELECT 'p' || n_nationkey AS project_id, 'src/n' || n_nationkey AS root, 'mixed' AS language, CAST(n_regionkey AS BIGINT) AS last_index_ts FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'top', 'src', 'mixed', CAST(0 AS BIGINT)",
     "ledger": "SELECT event_id AS id, MILLIS(ts) AS timestamp, CASE event_type WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'test_run' ELSE event_type END AS event, props AS data FROM events",
     "dirty": f"SELECT {file_sql('(o_custkey % N)')} AS path, max(MILLIS(o_orderdate)) AS changed_at FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",

@@ -34,11 +34,6 @@ IMPORTS = {
 }
 
 
-def imports_sql() -> str:
-    """Expected rows; the patterns run on one engine only, so this is a fixture rather than a second implementation."""
-    return values([(p, s, k) for p, rows in IMPORTS.items() for s, k in rows], "path", "specifier", "kind")
-
-
 KNOWN = ["src/x.tsx", "src/lib/index.js", "src/y", "src/sib.rs", "src/m/mod.rs", "lib/r.rb"]
 RESOLVE = [
     ("src/a.ts", "typescript", "./x", "src/x.tsx"), ("src/a.ts", "typescript", "./lib", "src/lib/index.js"), ("src/a.ts", "typescript", "./y", "src/y"),
@@ -60,10 +55,6 @@ SYMBOLS = [
 ]
 
 
-def symbols_sql() -> str:
-    return values(SYMBOLS, "symbol", "name", "kind")
-
-
 ARTIFACTS = [
     (".env", "# comment\nDB_URL=x\n\n  API_KEY = no\nKEY2=1\n"), ("app/.env.local", "ONLY=1"), ("package.json", "{\n \"name\": \"n\",\n \"scripts\": {\n  \"build\": \"x\",\n  \"test\": \"y\"\n },\n \"main\": \"m.js\"\n}"),
     ("tsconfig.json", "{\n \"compilerOptions\": {\n  \"strict\": true\n }\n}"), ("bad/package.json", "{ no json"), ("db/s.sql", "CREATE TABLE IF NOT EXISTS Users (id int);\nalter table orders add x int;\ncreate unique index idx_a on users(id);\n"),
@@ -96,27 +87,11 @@ def refs_sql() -> str:
 TSC = "/repo/src/a.ts(3,7): error TS2345: Argument of type 'Foo' is not assignable.\n./b.ts(10,1): error TS2304: Cannot find name 'bar'.\nnoise\nerror TS5000: no place\n"
 
 
-def tsc_sql() -> str:
-    return values([("src/a.ts", 3, 7, "TS2345"), ("b.ts", 10, 1, "TS2304"), ("", 0, 0, "")], "file", "line", "col", "code")
-
-
 GO = "# pkg\n./main.go:10:5: undefined: x\n/a/b.go:3:1: bad call\nnoise\n"
 CARGO = "error[E0308]: mismatched types\n  --> src/main.rs:10:5\n --> src/lib.rs:2:1\nerror[E0001]: lost\nerror[E0002]: other\n  --> src/x.rs:7:9\n"
 GENERIC = "A.java:10: error: missing\nsrc/B.cs(4,7): error CS1002: ; expected\n[warn] C.scala:3: nothing\nD.txt:1: error: no\n"
 
 
-def go_sql() -> str:
-    return values([("main.go", 10, 5, "GO_VET"), ("a/b.go", 3, 1, "GO_VET")], "file", "line", "col", "code")
-
-
-def cargo_sql() -> str:
-    return values([("src/main.rs", 10, 5, "E0308"), ("src/lib.rs", 2, 1, ""), ("src/x.rs", 7, 9, "E0002")], "file", "line", "col", "code")
-
-
-def generic_sql() -> str:
-    return values([("A.java", 10, 0), ("src/B.cs", 4, 7)], "file", "line", "col")
-
-
 LISTING = ["package.json", "packages/a/tsconfig.json", "packages/a/pyproject.toml", "packages/b/go.mod", "packages/c/readme.md", "tools/Cargo.toml", "packages/a/node_modules/x/tsconfig.json", "apps/web/App.csproj", "packages/d/deep/pom.xml"]
 MANIFEST = "{\"workspaces\": [\"packages/*\", \"apps/web\"]}"
 
