@@ -239,15 +239,21 @@ class _Bucket:
                     some = far[np.arange(len(own)), near] <= self.radius
                     yield own[some], at[near[some]]
 
-    def across(self, top: int | None):
-        """All pairs of two classes within the radius, of which one set is outside of class `top`."""
+    def across(self, top: int | None, mask: int, masks: np.ndarray):
+        """All pairs of two classes within the radius, of which one set is outside of class `top`, and for which
+        `mask` is the first of `masks` on which they agree: so one table names each pair."""
+        before = masks[: int(np.flatnonzero(masks == mask)[0])]
         rows = np.arange(len(self.ids)) if top is None else np.flatnonzero(self.root != top)
         for k in range(0, len(rows), 256):
             own = rows[k : k + 256]
             i, j = np.nonzero(np.bitwise_count(self.fps[own, None] ^ self.fps[None, :]) <= self.radius)
             i = own[i]
             some = self.root[i] != self.root[j]
-            yield i[some], j[some]
+            i, j = i[some], j[some]
+            for m in before:
+                some = (self.fps[i] ^ self.fps[j]) & U64(int(m) & (1 << BITS) - 1) != 0
+                i, j = i[some], j[some]
+            yield i, j
 
 
 def _pairs(rows: DataFrame, radius: int, percent: int, whole: bool) -> DataFrame:
@@ -255,22 +261,24 @@ def _pairs(rows: DataFrame, radius: int, percent: int, whole: bool) -> DataFrame
 
     def run(batches):
         for b in batches:
-            for x, top in zip(b.column(0), b.column(1).to_pylist()):
+            for x, top, mask in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 bucket = _Bucket(x.values, radius, percent)
-                for i, j in bucket.across(top) if whole else bucket.nearest():
+                for i, j in bucket.across(top, mask, masks) if whole else bucket.nearest():
                     able = bucket.able(i, j)
                     i, j = bucket.ids[i[able]], bucket.ids[j[able]]
                     if len(i):
                         yield _ints(np.minimum(i, j), np.maximum(i, j), names=["a", "b"])
 
     members = F.collect_list(F.struct("id", "fp", "root", "n", "s0", "s1")).alias("members")
-    groups = rows.groupBy("bucket", "piece").agg(members, F.max("top").alias("top")).where("size(members) > 1")
-    return groups.select("members", "top").mapInArrow(run, "a bigint, b bigint").distinct()
+    masks = np.array(half_masks(radius), np.int64)
+    groups = rows.groupBy("bucket", "piece", "mask0").agg(members, F.max("top").alias("top")).where("size(members) > 1")
+    return groups.select("members", "top", "mask0").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _dealt(rows: DataFrame, masks) -> DataFrame:
-    """rows once for each mask, with the bucket: a hash of mask and masked fingerprint (what collides is only compared in vain)."""
+    """rows once for each mask, with the bucket: a hash of mask and masked fingerprint (of the first dealing, mask0 tells those apart that collide)."""
     rows = rows.withColumn("mask", F.explode(masks))
+    rows = rows if "mask0" in rows.columns else rows.withColumn("mask0", F.col("mask"))  # that of the first dealing
     return rows.withColumns({"bucket": F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))), "piece": F.lit(0), "top": F.lit(None).cast("long")})
 
 
