@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current is None:
+        if not there and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(there or f"file://{tempfile.mkdtemp(prefix='codeloom-')}")
         current = sc.getCheckpointDir()
     return there or current
