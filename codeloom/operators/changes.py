@@ -17,13 +17,10 @@ LEVELS = 8
 
 
 def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """table with incoming rows: the last of a key wins, by `order` (dropped), and replaces all columns."""
-    last = incoming
-    if order:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-        last = incoming.withColumn("__n", rank).where("__n = 1").drop("__n", order)
-    else:
-        last = incoming.dropDuplicates(keys)
+    """table with incoming rows: the last of a key wins, by `order` (dropped) or else by its other columns, and replaces all columns."""
+    by = [order] if order else [c for c in incoming.columns if c not in keys]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in by or keys]))
+    last = incoming.withColumn("__n", rank).where("__n = 1").drop("__n", *([order] if order else []))
     return table.join(last.select(*keys), keys, "left_anti").unionByName(last.select(table.columns))
 
 
@@ -51,8 +48,8 @@ def delete_files(g: Graph, paths: DataFrame) -> Graph:
 
 
 def clear_dirty(dirty: DataFrame, root: str) -> DataFrame:
-    """Without the files of a project; '.' and '' clear all."""
-    return dirty.where(~in_project(F.col("path"), F.lit(root)))
+    """Without the files below a project's root; '.' and '' clear all."""
+    return dirty.where(~in_project(F.col("path"), F.lit(root)) | (F.col("path") == root) & F.lit(root not in ("", ".")))
 
 
 def set_project_time(projects: DataFrame, project_id: str, ts: int) -> DataFrame:

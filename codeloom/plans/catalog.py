@@ -166,7 +166,7 @@ def edges_clear_file(g):
     return changes.clear_edges(g.edges, g.files.where("language = 'go'").select("path"))
 
 
-@query("SELECT * FROM dirty WHERE path <> 'src/n1' AND NOT starts_with(path, 'src/n1/')", "dirty")
+@query("SELECT * FROM dirty WHERE NOT starts_with(path, 'src/n1/')", "dirty")
 def dirty_clear_prefix(g):
     return changes.clear_dirty(g.dirty, "src/n1")
 
