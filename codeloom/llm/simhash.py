@@ -37,7 +37,15 @@ of about 16 bits find all of them. It works on distinct sets of shingles.
 A pair is a candidate only if its sizes, and the parities of its shingles in 128
 classes, allow the similarity: sets of s shingles together that differ in d of them
 have one of (s - d) / (s + d), and parities that differ in at most d bits. So of many
-texts that are near in words but not similar, no pairs leave the task.
+texts that are near in words but not similar, few pairs leave the task.
+
+A set with more than PARTNERS candidates in a bucket does not list them: it is tied to
+them, one row for each set, and the tied sets of all buckets make groups. A group is
+dealt into blocks of about BLOCK sets (fewer if they are large) and each two blocks meet
+once, with the shingles themselves: exact counts of common shingles for all pairs come
+from products of 0/1 matrices, and only spanning stars of similar pairs leave the task.
+So rows grow with the sets, not with their pairs, however many texts lie near 0.8, and
+every pair is still decided; the work on one such group grows with its square.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like
 any other; repeated rows share a class; documents whose ids are all null get a
@@ -59,6 +67,7 @@ from .common import U64, chunks, connected_components, cut, joined, run_hashes,
 
 BITS, FREE = 64, 12
 SHINGLE, PERCENT, NEAR, MOST, DEPTH, FIRST, FEW, SAMPLE = 5, 80, 8, 1024, 2, 5, 1 << 17, 16
+PARTNERS, BLOCK, BLOCK_GRAMS = 4, 1024, 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -210,6 +219,22 @@ def _sets(batches, shingle: int):
             yield [(k, int(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).astype(np.int64)), g, fp) for k, (g, fp) in zip(keys, shingle_sets(texts, shingle))]
 
 
+class _Labels:
+    """Classes of 0 .. n - 1, named by their smallest element."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, at: np.ndarray):
+        old = np.unique(self.root[at])
+        if len(old) > 1:
+            self.root[np.isin(self.root, old[1:])] = old[0]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return moved, self.root[moved]
+
+
 class _Bucket:
     """The sets of one bucket, and which pairs of them can be similar."""
 
@@ -256,23 +281,119 @@ class _Bucket:
             yield i, j
 
 
-def _pairs(rows: DataFrame, radius: int, percent: int, whole: bool) -> DataFrame:
-    """(a, b) within each bucket and piece of rows: the nearest ones of each set, or all across classes."""
+def _pairs(rows: DataFrame, radius: int, percent: int, whole: bool, partners: int = PARTNERS) -> DataFrame:
+    """(a, b, tied) within each bucket and piece of rows: the nearest ones of each set, or all across classes.
+
+    A set with more than `partners` of them gives no pairs; it and they are tied to one of them.
+    """
 
     def run(batches):
         for b in batches:
             for x, top, mask in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 bucket = _Bucket(x.values, radius, percent)
+                ties = _Labels(len(bucket.ids))
                 for i, j in bucket.across(top, mask, masks) if whole else bucket.nearest():
                     able = bucket.able(i, j)
-                    i, j = bucket.ids[i[able]], bucket.ids[j[able]]
+                    i, j = i[able], j[able]
+                    if whole and len(i):  # by i, in order
+                        many = np.bincount(i)[i] > partners
+                        own, at = np.unique(i[many], return_index=True)
+                        for k, js in zip(own, np.split(j[many], at[1:])):
+                            ties.join(np.append(js, k))
+                        i, j = i[~many], j[~many]
                     if len(i):
-                        yield _ints(np.minimum(i, j), np.maximum(i, j), names=["a", "b"])
+                        yield rows_of(bucket.ids[i], bucket.ids[j], False)
+                i, j = ties.stars()
+                if len(i):
+                    yield rows_of(bucket.ids[i], bucket.ids[j], True)
+
+    def rows_of(a, b, tied: bool):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), tied))], ["a", "b", "tied"])
 
     members = F.collect_list(F.struct("id", "fp", "root", "n", "s0", "s1")).alias("members")
     masks = np.array(half_masks(radius), np.int64)
     groups = rows.groupBy("bucket", "piece", "mask0").agg(members, F.max("top").alias("top")).where("size(members) > 1")
-    return groups.select("members", "top", "mask0").mapInArrow(run, "a bigint, b bigint").distinct()
+    return groups.select("members", "top", "mask0").mapInArrow(run, "a bigint, b bigint, tied boolean").distinct()
+
+
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of `left` has in common with each of `right`: products of 0/1 matrices for
+    the frequent shingles, in pieces of 1024, and one by one for the others."""
+    n, m = len(left), len(right)
+    _, col = np.unique(np.concatenate(left + right), return_inverse=True)
+    size = [len(x) for x in left], [len(x) for x in right]
+    row_l, row_r = (np.repeat(np.arange(len(x)), x) for x in size)
+    col_l, col_r = col[: len(row_l)], col[len(row_l) :]
+    width = int(col.max()) + 1 if len(col) else 0
+    n_l, n_r = np.bincount(col_l, minlength=width), np.bincount(col_r, minlength=width)
+    out = np.zeros(n * m, np.int64)
+    often = n_l * n_r * 32 > n * m
+    place = np.cumsum(often) - 1
+    for low in range(0, int(often.sum()), 1024):
+        both = []
+        for rows, cols, k in ((row_l, col_l, n), (row_r, col_r, m)):
+            some = often[cols] & (place[cols] >= low) & (place[cols] < low + 1024)
+            x = np.zeros((k, 1024), np.float32)
+            x[rows[some], place[cols[some]] - low] = 1
+            both.append(x)
+        out += (both[0] @ both[1].T).ravel().astype(np.int64)
+    some = ~often[col_l] & (n_r[col_l] > 0)
+    row_l, col_l = row_l[some], col_l[some]
+    order = np.argsort(col_r, kind="stable")
+    row_r, first = row_r[order], np.cumsum(n_r) - n_r
+    times = n_r[col_l]
+    before = np.concatenate([[0], np.cumsum(times)])
+    k = 0
+    while k < len(times):
+        z = max(k + 1, int(np.searchsorted(before, before[k] + (1 << 21), "right")) - 1)
+        at = np.arange(before[z] - before[k]) + np.repeat(first[col_l[k:z]] - before[k:z] + before[k], times[k:z])
+        out += np.bincount(np.repeat(row_l[k:z], times[k:z]) * m + row_r[at], minlength=n * m)
+        k = z
+    return out.reshape(n, m)
+
+
+def _block_links(held: list[tuple], same: bool, radius: int, percent: int) -> tuple[list[int], list[int]]:
+    """Stars of the similar pairs of two blocks; held: (whether of the lower block, id, fp, grams)."""
+    left = [k for k, x in enumerate(held) if x[0]]
+    right = left if same else [k for k, x in enumerate(held) if not x[0]]
+    labels = _Labels(len(held))
+    if left and right:
+        sets, fps = [x[3] for x in held], np.array([x[2] for x in held], np.int64).view(U64)
+        n = np.array([len(x) for x in sets], np.int64)
+        both = common_shingles([sets[k] for k in left], [sets[k] for k in right])
+        near = (100 + percent) * both >= percent * (n[left][:, None] + n[right][None, :])
+        near &= np.bitwise_count(fps[left][:, None] ^ fps[right][None, :]) <= radius
+        for k, hit in zip(left, near):
+            if hit.any():
+                labels.join(np.append(np.array(right)[hit], k))
+    i, j = labels.stars()
+    return [held[k][1] for k in i], [held[k][1] for k in j]
+
+
+def _group_links(ties: DataFrame, sets: DataFrame, grams_of, radius: int, percent: int, block: int) -> DataFrame:
+    """(a, b): links between tied sets that connect what pairs of them within the radius and of the similarity connect."""
+    groups = connected_components(ties).withColumnRenamed("node", "id").withColumnRenamed("root", "own")
+    members = cut(groups.join(sets.select("id", "fp", "n"), "id"))
+    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).cast("int")
+    sizes = members.groupBy("own").agg(parts.alias("parts"))
+    dealt = members.join(sizes, "own").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    dealt = dealt.join(grams_of(members.select("id")), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("own", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("lower"), "id", "fp", "grams")
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            head = [b.column(k).to_pylist() for k in range(6)]
+            for row, (own, low, high, *rest) in enumerate(zip(*head)):
+                if held and (own, low, high) != key:
+                    yield _ints(*_block_links(held, key[1] == key[2], radius, percent), names=["a", "b"])
+                    held = []
+                key = own, low, high
+                held.append((*rest, b.column(6)[row].values.to_numpy(zero_copy_only=False).copy()))
+        if held:
+            yield _ints(*_block_links(held, key[1] == key[2], radius, percent), names=["a", "b"])
+
+    return cut(dealt.repartition("own", "low", "high").sortWithinPartitions("own", "low", "high").mapInArrow(run, "a bigint, b bigint"))
 
 
 def _dealt(rows: DataFrame, masks) -> DataFrame:
@@ -289,15 +410,15 @@ def _large(rows: DataFrame, most: int) -> DataFrame:
     return cut(some.groupBy("bucket").agg((F.count("*") * share).alias("size")).where(F.col("size") > most))
 
 
-def _candidates(sets: DataFrame, radius: int, percent: int, most: int) -> DataFrame:
-    """(a, b): all pairs of sets(id, fp, root) within the radius whose roots differ and that can be similar."""
+def _candidates(sets: DataFrame, radius: int, percent: int, most: int, partners: int) -> DataFrame:
+    """(a, b, tied), as _pairs: all pairs of sets(id, fp, root) within the radius whose roots differ and that can be similar."""
     rows, found = _dealt(sets, F.array(*[F.lit(m) for m in half_masks(radius)])), None
     for depth in range(DEPTH + 1):
         large = _large(rows, most)
         many = large.count()
         if many and many <= FEW:  # 16 bytes each
             large = F.broadcast(large)
-        fit = _pairs(rows.join(large, "bucket", "left_anti") if many else rows, radius, percent, True)
+        fit = _pairs(rows.join(large, "bucket", "left_anti") if many else rows, radius, percent, True, partners)
         found = fit if found is None else found.unionAll(fit)
         if not many:
             break
@@ -311,7 +432,7 @@ def _candidates(sets: DataFrame, radius: int, percent: int, most: int) -> DataFr
         pieces = F.ceil(F.col("all") / F.lit(most)).cast("int")
         own = F.pmod(F.xxhash64("id"), pieces.cast("long")).cast("int")
         salted = rest.where(done).withColumn("piece", F.explode(F.when(F.col("root") != F.col("top"), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(own))))
-        found = found.unionAll(_pairs(salted, radius, percent, True))
+        found = found.unionAll(_pairs(salted, radius, percent, True, partners))
         rest = rest.where(~done)
         masks = [r.mask for r in rest.select("mask").distinct().collect()]  # 46 * (radius + 1)**(DEPTH - 1) at most
         if not masks:
@@ -321,15 +442,14 @@ def _candidates(sets: DataFrame, radius: int, percent: int, most: int) -> DataFr
     return found.distinct()
 
 
-def similar_links(rows: DataFrame, sets: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST) -> DataFrame:
+def similar_links(rows: DataFrame, sets: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST, partners: int = PARTNERS, block: int = BLOCK) -> DataFrame:
     """(a, b): links between the ids of sets that connect what pairs within the radius and of the similarity connect.
 
     rows(key, text); sets(id, key, fp, n, s0, s1): a row of each set, its fingerprint, size and parities.
     """
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "key"), "id"))
+    def grams_of(ids: DataFrame) -> DataFrame:
+        wanted = cut(ids.distinct().join(sets.select("id", "key"), "id"))
         keys = wanted.select("key").distinct()
         if wanted.count() <= FEW:  # 8 bytes each
             keys = F.broadcast(keys)
@@ -339,7 +459,11 @@ def similar_links(rows: DataFrame, sets: DataFrame, shingle: int = SHINGLE, perc
                 for _, name, own, _ in piece:
                     yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["id", "grams"])
 
-        known = cut(rows.join(keys, "key", "left_semi").mapInArrow(grams, "id bigint, grams array<bigint>").dropDuplicates(["id"]))
+        return cut(rows.join(keys, "key", "left_semi").mapInArrow(grams, "id bigint, grams array<bigint>").dropDuplicates(["id"]))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        known = grams_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         a, b = (known.select(F.col("id").alias(c), F.col("grams").alias(f"{c}s")) for c in "ab")
         both, all_ = F.size(F.array_intersect("as", "bs")), F.size("as") + F.size("bs")
         return cut(pairs.join(a, "a").join(b, "b").where((100 + percent) * both >= percent * all_).select("a", "b"))
@@ -349,13 +473,16 @@ def similar_links(rows: DataFrame, sets: DataFrame, shingle: int = SHINGLE, perc
     large = _large(few, most)
     if large.count():  # this round need not find all, so a large bucket is cut into pieces of like fingerprints
         few = few.join(large, "bucket", "left").withColumn("piece", F.pmod(F.xxhash64("fp"), F.coalesce(F.ceil(F.col("size") / F.lit(most)), F.lit(1))).cast("int"))
-    found = similar(_pairs(few, radius, percent, False))
+    found = similar(_pairs(few, radius, percent, False).select("a", "b"))
     roots = connected_components(found).withColumnRenamed("node", "id")
     rooted = cut(sets.drop("key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    return found.unionAll(similar(_candidates(rooted, radius, percent, most)))
+    near = cut(_candidates(rooted, radius, percent, most, partners))
+    found = found.unionAll(similar(near.where(~F.col("tied")).select("a", "b")))
+    ties = near.where("tied").select("a", "b")
+    return found.unionAll(_group_links(ties, sets, grams_of, radius, percent, block)) if ties.limit(1).count() else found
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, radius: int = NEAR, most: int = MOST, partners: int = PARTNERS, block: int = BLOCK) -> DataFrame:
     """The rows of docs that are the first of their class, one for each id and text."""
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
     rows = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
@@ -370,7 +497,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("low")
     marked = docs.select(key.alias("key"), F.col(id_col).alias("doc_id")).distinct()
     first = cut(named.select("key", "id").distinct().join(marked, "key").groupBy("id").agg(low))
-    roots = connected_components(similar_links(rows, sets, shingle, percent, radius, most)).withColumnRenamed("node", "id")
+    roots = connected_components(similar_links(rows, sets, shingle, percent, radius, most, partners, block)).withColumnRenamed("node", "id")
     keep = first.join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("low").alias("low")).select(F.col("low.key").alias("__cl_key"))
     return docs.withColumn("__cl_key", key).join(keep, "__cl_key", "left_semi").dropDuplicates(["__cl_key"]).drop("__cl_key")
 

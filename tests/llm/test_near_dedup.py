@@ -70,6 +70,37 @@ def test_near_dedup_is_whole(spark, most):
     assert gone >= 0.9 * all_ > 10
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_many_texts_about_the_threshold(spark, block, monkeypatch):
+    """Groups in which nearly every pair is a candidate and some are similar: tied, compared in blocks, no link lost."""
+    rnd = random.Random(5)
+    texts = copies(random.Random(8))
+    for _ in range(2):
+        base = [f"{rnd.randrange(10**6)}" for _ in range(90)]
+        for _ in range(60):
+            w = list(base)
+            for at in rnd.sample(range(2, 88), rnd.randint(1, 3)):
+                w[at] = rnd.choice(["x", "y", "z"])
+            texts.append(" ".join(w))
+    tied, inner = [], simhash._group_links
+    monkeypatch.setattr(simhash, "_group_links", lambda ties, *how: tied.append(ties.count()) or inner(ties, *how))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.near_dedup(df, partners=2, block=block).collect())
+    assert got == brute_kept(texts)
+    sets = brute_sets(texts)[-120:]
+    alike = sum(5 * len(a & b) >= 4 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert 50 < alike < 1000 and tied[0] >= 50
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, top, rng.integers(0, 60)).astype(np.uint64)) for top in rng.choice([20, 3000], 90)]
+    left, right = sets[:40], sets[40:]
+    got = simhash.common_shingles(left, right)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert simhash.common_shingles([sets[0][:0]], [sets[1][:0]]).tolist() == [[0]]
+
+
 def test_parities_leave_out_no_similar_pair():
     rnd = random.Random(4)
     for _ in range(300):
