@@ -89,6 +89,7 @@ U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
 P_BYTE, P_WORD = 0x100000001B3 | 1, 0xD6E8FEB86659FD93
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
+PIECE = 1 << 19  #: bytes or words that are hashed at once, so that memory hardly grows with one text
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -115,8 +116,23 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of every word in an array of bytes that starts and ends with white space.
 
-    The hash is a polynomial in the bytes, taken for all words at once from running sums.
+    The hash is a polynomial in the bytes, taken for all words of a piece at once from running sums.
+    Pieces are cut at white space, so the hashes don't depend on them.
     """
+    found, low = [], 0
+    while True:
+        high = low + PIECE
+        while high < len(raw) and not (space := IS_SPACE[raw[high : high + PIECE]]).any():
+            high += PIECE
+        high = high + int(space.argmax()) + 1 if high < len(raw) else len(raw)
+        start, end, words = _word_hashes(raw[low:high])
+        found.append((start + low, end + low, words))
+        if high >= len(raw):
+            return tuple(np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*found))
+        low = high - 1  # the white space that ends a piece starts the next one
+
+
+def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(IS_SPACE[raw].view(np.int8)))
     start, end = edge[0::2] + 1, edge[1::2] + 1
     if not len(start):
@@ -133,6 +149,8 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive word hashes."""
     if len(words) < n:
         return np.zeros(0, U64)
+    if len(words) - n >= PIECE:
+        return np.concatenate([run_hashes(words[k : k + PIECE + n - 1], n) for k in range(0, len(words) - n + 1, PIECE)])
     up, down = powers(P_WORD, len(words)), powers(pow(P_WORD, -1, 1 << 64), len(words))
     total = np.zeros(len(words) + 1, U64)
     np.cumsum(words * up, out=total[1:])

@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
-from codeloom.llm import linededup, pii, quality, simhash
+from codeloom.llm import common, linededup, pii, quality, simhash
 
 EDGE = [None, "", " \n\t ", "one", "one two", "a b c d e " * 40, "x" * 5000, "word " * 30000, "Ünï cödé — ümläut nbsp"]
 
@@ -265,3 +266,18 @@ def test_line_dedup_recall(spark):
     assert sum(gone.values()) > 0.5 * sum(run.values()) > 50
     cut = linededup.chunks_of("\n".join(f"line {i}" for i in range(500)))
     assert {e - s for s, e in cut} <= {2, 3} and linededup.chunks_of("one") == [(0, 1)]
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    rnd = random.Random(6)
+    for size in (0, 1, 30, 400):
+        text = "".join(rnd.choice("ab  \n") for _ in range(size)).encode() + b" " + b"x" * rnd.choice([0, 70]) + b" y"
+        raw, _ = common.joined([text])
+        monkeypatch.setattr(common, "PIECE", 1 << 19)
+        whole = common.word_hashes(raw)
+        assert [bytes(raw[a:z]) for a, z in zip(whole[0], whole[1])] == text.split()
+        runs = common.run_hashes(whole[2], 3)
+        for piece in (1, 7, 64):
+            monkeypatch.setattr(common, "PIECE", piece)
+            assert all(np.array_equal(x, y) for x, y in zip(common.word_hashes(raw), whole))
+            assert np.array_equal(common.run_hashes(whole[2], 3), runs)
