@@ -28,11 +28,14 @@ of about 16 bits find all of them. It works on distinct sets of shingles.
 
 1. In some of the tables each set names the nearest sets of its bucket, which takes
    groups of copies together at the cost of two pairs a set.
-2. In all tables all pairs within the radius are compared but those already in one
-   class. Buckets over `most` are dealt anew by blocks of their free bits, DEPTH
+2. In the same tables sets that have more than PARTNERS candidates of other classes in
+   their bucket are tied to them (below). What is tied makes crowds, whose pairs are
+   all decided at the end, so the next step leaves the pairs within a crowd out.
+3. In all tables all pairs within the radius are compared but those already in one
+   class or one crowd. Buckets over `most` are dealt anew by blocks of their free bits, DEPTH
    times at most (each makes a bucket of unlike texts a 32nd, and none of like ones);
-   those that remain, or hardly hold more than one class, are cut into pieces of
-   `most` sets, each with all sets outside of the largest class. No pair is left out.
+   those that remain, or hardly hold more than one crowd, are cut into pieces of
+   `most` sets, each with all sets outside of the largest crowd. No pair is left out.
 
 A pair is a candidate only if its sizes, and the parities of its shingles in 128
 classes, allow the similarity: sets of s shingles together that differ in d of them
@@ -40,7 +43,7 @@ have one of (s - d) / (s + d), and parities that differ in at most d bits. So of
 texts that are near in words but not similar, few pairs leave the task.
 
 A set with more than PARTNERS candidates in a bucket does not list them: it is tied to
-them, one row for each set, and the tied sets of all buckets make groups. A group is
+them, one row for each set, and the tied sets of both steps make groups. A group is
 dealt into blocks of about BLOCK sets (fewer if they are large) and each two blocks meet
 once, with the shingles themselves: exact counts of common shingles for all pairs come
 from products of 0/1 matrices, and only spanning stars of similar pairs leave the task.
@@ -239,9 +242,9 @@ class _Bucket:
     """The sets of one bucket, and which pairs of them can be similar."""
 
     def __init__(self, members, radius: int, percent: int):
-        columns = [members.field(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        columns = [members.field(k).to_numpy(zero_copy_only=False) for k in range(7)]
         order = np.lexsort(columns[:2])
-        self.ids, self.fps, self.root, self.n, *self.parity = (c[order] for c in columns)
+        self.ids, self.fps, self.root, self.crowd, self.n, *self.parity = (c[order] for c in columns)
         self.fps, self.parity = self.fps.view(U64), [x.view(U64) for x in self.parity]
         self.radius, self.percent = radius, percent
 
@@ -264,44 +267,56 @@ class _Bucket:
                     some = far[np.arange(len(own)), near] <= self.radius
                     yield own[some], at[near[some]]
 
+    def apart(self, rows: np.ndarray, others: np.ndarray):
+        """All pairs of rows and others within the radius that are in two classes and two crowds."""
+        for k in range(0, len(rows), 256):
+            own = rows[k : k + 256]
+            i, j = np.nonzero(np.bitwise_count(self.fps[own, None] ^ self.fps[None, others]) <= self.radius)
+            i, j = own[i], others[j]
+            some = (self.root[i] != self.root[j]) & (self.crowd[i] != self.crowd[j])
+            yield i[some], j[some]
+
+    def crowded(self):
+        """The pairs of two classes in pieces of MOST sets."""
+        for low in range(0, len(self.ids), MOST):
+            at = np.arange(low, min(low + MOST, len(self.ids)))
+            yield from self.apart(at, at)
+
     def across(self, top: int | None, mask: int, masks: np.ndarray):
-        """All pairs of two classes within the radius, of which one set is outside of class `top`, and for which
+        """All pairs of two crowds of which one set is outside of crowd `top`, and for which
         `mask` is the first of `masks` on which they agree: so one table names each pair."""
         before = masks[: int(np.flatnonzero(masks == mask)[0])]
-        rows = np.arange(len(self.ids)) if top is None else np.flatnonzero(self.root != top)
-        for k in range(0, len(rows), 256):
-            own = rows[k : k + 256]
-            i, j = np.nonzero(np.bitwise_count(self.fps[own, None] ^ self.fps[None, :]) <= self.radius)
-            i = own[i]
-            some = self.root[i] != self.root[j]
-            i, j = i[some], j[some]
+        every = np.arange(len(self.ids))
+        for i, j in self.apart(every if top is None else np.flatnonzero(self.crowd != top), every):
             for m in before:
                 some = (self.fps[i] ^ self.fps[j]) & U64(int(m) & (1 << BITS) - 1) != 0
                 i, j = i[some], j[some]
             yield i, j
 
 
-def _pairs(rows: DataFrame, radius: int, percent: int, whole: bool, partners: int = PARTNERS) -> DataFrame:
-    """(a, b, tied) within each bucket and piece of rows: the nearest ones of each set, or all across classes.
+def _pairs(rows: DataFrame, radius: int, percent: int, step: str, partners: int = PARTNERS) -> DataFrame:
+    """(a, b, tied) within each bucket and piece of rows: the `nearest` ones of each set, or all `across` crowds.
 
-    A set with more than `partners` of them gives no pairs; it and they are tied to one of them.
+    In a step other than `nearest`, a set with more than `partners` of them gives no pairs; it and they are tied to
+    one of them. The step `crowded` gives these ties alone.
     """
+    seen = _Bucket.crowded if step == "crowded" else _Bucket.nearest
 
     def run(batches):
         for b in batches:
             for x, top, mask in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 bucket = _Bucket(x.values, radius, percent)
                 ties = _Labels(len(bucket.ids))
-                for i, j in bucket.across(top, mask, masks) if whole else bucket.nearest():
+                for i, j in bucket.across(top, mask, masks) if step == "across" else seen(bucket):
                     able = bucket.able(i, j)
                     i, j = i[able], j[able]
-                    if whole and len(i):  # by i, in order
+                    if step != "nearest" and len(i):  # by i, in order
                         many = np.bincount(i)[i] > partners
                         own, at = np.unique(i[many], return_index=True)
                         for k, js in zip(own, np.split(j[many], at[1:])):
                             ties.join(np.append(js, k))
                         i, j = i[~many], j[~many]
-                    if len(i):
+                    if step != "crowded" and len(i):
                         yield rows_of(bucket.ids[i], bucket.ids[j], False)
                 i, j = ties.stars()
                 if len(i):
@@ -310,7 +325,7 @@ def _pairs(rows: DataFrame, radius: int, percent: int, whole: bool, partners: in
     def rows_of(a, b, tied: bool):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), tied))], ["a", "b", "tied"])
 
-    members = F.collect_list(F.struct("id", "fp", "root", "n", "s0", "s1")).alias("members")
+    members = F.collect_list(F.struct("id", "fp", "root", "crowd", "n", "s0", "s1")).alias("members")
     masks = np.array(half_masks(radius), np.int64)
     groups = rows.groupBy("bucket", "piece", "mask0").agg(members, F.max("top").alias("top")).where("size(members) > 1")
     return groups.select("members", "top", "mask0").mapInArrow(run, "a bigint, b bigint, tied boolean").distinct()
@@ -411,28 +426,28 @@ def _large(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _candidates(sets: DataFrame, radius: int, percent: int, most: int, partners: int) -> DataFrame:
-    """(a, b, tied), as _pairs: all pairs of sets(id, fp, root) within the radius whose roots differ and that can be similar."""
+    """(a, b, tied), as _pairs: all pairs of sets(id, fp, root, crowd) within the radius whose roots and crowds differ and that can be similar."""
     rows, found = _dealt(sets, F.array(*[F.lit(m) for m in half_masks(radius)])), None
     for depth in range(DEPTH + 1):
         large = _large(rows, most)
         many = large.count()
         if many and many <= FEW:  # 16 bytes each
             large = F.broadcast(large)
-        fit = _pairs(rows.join(large, "bucket", "left_anti") if many else rows, radius, percent, True, partners)
+        fit = _pairs(rows.join(large, "bucket", "left_anti") if many else rows, radius, percent, "across", partners)
         found = fit if found is None else found.unionAll(fit)
         if not many:
             break
         rest = cut(rows.drop("top").join(large, "bucket"))
-        by_root = rest.groupBy("bucket", "root").agg(F.count("*").alias("own"))
-        top = by_root.groupBy("bucket").agg(F.sum("own").alias("all"), F.max(F.struct("own", "root")).alias("top"))
-        top = cut(top.select("bucket", "all", F.col("top.root").alias("top"), (F.col("all") - F.col("top.own")).alias("others")).where("others > 0"))
+        by_crowd = rest.groupBy("bucket", "crowd").agg(F.count("*").alias("own"))
+        top = by_crowd.groupBy("bucket").agg(F.sum("own").alias("all"), F.max(F.struct("own", "crowd")).alias("top"))
+        top = cut(top.select("bucket", "all", F.col("top.crowd").alias("top"), (F.col("all") - F.col("top.own")).alias("others")).where("others > 0"))
         rest = rest.join(top, "bucket")
         done = F.expr(f"others * all <= {most * most}") | F.lit(depth == DEPTH)
-        # pieces of `most` sets, each with all sets outside of the largest class
+        # pieces of `most` sets, each with all sets outside of the largest crowd
         pieces = F.ceil(F.col("all") / F.lit(most)).cast("int")
         own = F.pmod(F.xxhash64("id"), pieces.cast("long")).cast("int")
-        salted = rest.where(done).withColumn("piece", F.explode(F.when(F.col("root") != F.col("top"), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(own))))
-        found = found.unionAll(_pairs(salted, radius, percent, True, partners))
+        salted = rest.where(done).withColumn("piece", F.explode(F.when(F.col("crowd") != F.col("top"), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(own))))
+        found = found.unionAll(_pairs(salted, radius, percent, "across", partners))
         rest = rest.where(~done)
         masks = [r.mask for r in rest.select("mask").distinct().collect()]  # 46 * (radius + 1)**(DEPTH - 1) at most
         if not masks:
@@ -469,16 +484,26 @@ def similar_links(rows: DataFrame, sets: DataFrame, shingle: int = SHINGLE, perc
         return cut(pairs.join(a, "a").join(b, "b").where((100 + percent) * both >= percent * all_).select("a", "b"))
 
     masks = half_masks(radius)
-    few = _dealt(sets.drop("key").withColumn("root", F.col("id")), F.array(*[F.lit(m) for m in masks[:: len(masks) // FIRST]]))
-    large = _large(few, most)
-    if large.count():  # this round need not find all, so a large bucket is cut into pieces of like fingerprints
-        few = few.join(large, "bucket", "left").withColumn("piece", F.pmod(F.xxhash64("fp"), F.coalesce(F.ceil(F.col("size") / F.lit(most)), F.lit(1))).cast("int"))
-    found = similar(_pairs(few, radius, percent, False).select("a", "b"))
+    some, large = F.array(*[F.lit(m) for m in masks[:: len(masks) // FIRST]]), None
+
+    def few(sets: DataFrame) -> DataFrame:
+        """Some tables. They need not find all, so a large bucket is cut into pieces of like fingerprints."""
+        nonlocal large
+        rows = _dealt(sets, some)
+        large = _large(rows, most) if large is None else large
+        return rows.join(large, "bucket", "left").withColumn("piece", F.pmod(F.xxhash64("fp"), F.coalesce(F.ceil(F.col("size") / F.lit(most)), F.lit(1))).cast("int")) if large.count() else rows
+
+    alone = sets.drop("key").withColumns({"root": F.col("id"), "crowd": F.col("id")})
+    found = similar(_pairs(few(alone), radius, percent, "nearest").select("a", "b"))
     roots = connected_components(found).withColumnRenamed("node", "id")
-    rooted = cut(sets.drop("key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    rooted = cut(alone.drop("root").join(roots, "id", "left").withColumns({"root": F.coalesce("root", "id"), "crowd": F.coalesce("root", "id")}))
+    ties = cut(_pairs(few(rooted), radius, percent, "crowded", partners).select("a", "b"))
+    if ties.limit(1).count():
+        crowds = connected_components(ties).select(F.col("node").alias("id"), F.col("root").alias("tied"))
+        rooted = cut(rooted.join(crowds, "id", "left").withColumn("crowd", F.when(F.col("tied").isNull(), F.col("crowd")).otherwise(F.xxhash64("tied"))).drop("tied"))
     near = cut(_candidates(rooted, radius, percent, most, partners))
     found = found.unionAll(similar(near.where(~F.col("tied")).select("a", "b")))
-    ties = near.where("tied").select("a", "b")
+    ties = ties.unionAll(near.where("tied").select("a", "b"))
     return found.unionAll(_group_links(ties, sets, grams_of, radius, percent, block)) if ties.limit(1).count() else found
 
 
