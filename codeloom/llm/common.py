@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters that separate words: space and U+0009 to U+000D. bytes.split() uses the same six.
 SPACES = " \t\n\x0b\x0c\r"
@@ -49,10 +51,39 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+SMALL = 1 << 16  #: edges that one task settles; counted first
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """connected_components() of few edges, by one task."""
+
+    def run(batches):
+        root: dict = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        nodes = list(root)
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "root"])
+
+    spark_kind = edges.schema["a"].dataType
+    kind = to_arrow_type(spark_kind)
+    return cut(edges.select("a", "b").coalesce(1).mapInArrow(run, f"node {spark_kind.simpleString()}, root {spark_kind.simpleString()}"))
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the smallest node reachable.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014): each is a
+    Up to `small` edges are settled by one task, with the same rows: rounds over few edges
+    cost only files, several for each partition of each shuffle. Beyond that it alternates large-star and small-star steps (Kiveris et al. 2014): each is a
     grouped minimum and an equi-join, and needs O(log^2 n) rounds whatever the
     diameter. Every round is checkpointed in the shared folder, so that a lost
     executor costs one round. Null ends and self-links are ignored.
@@ -71,6 +102,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return new.where("a <> b").distinct()
 
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.count() <= small:
+        return _settled(edges)
     mark = None
     for _ in range(most_rounds):
         edges = cut(star(star(edges, True), False))

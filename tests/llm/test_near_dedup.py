@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from codeloom.llm import simhash
+from codeloom.llm.common import connected_components
 
 
 def brute_sets(texts):
@@ -160,3 +161,15 @@ def test_ids_nulls_empty(spark):
     got = sorted((str(r.doc_id), str(r.text)) for r in simhash.near_dedup(df).collect())
     assert got == [("2", "None"), ("4", "a b c"), ("4", "other"), ("None", "p q")]
     assert simhash.near_dedup(df.limit(0)).count() == 0
+
+
+def test_components_alike_by_one_task_and_by_rounds(spark):
+    """Chains, stars, repeated and self links and null ends, of numbers and of strings."""
+    rnd = random.Random(6)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(9, k) for k in range(10, 30)] + [(rnd.randrange(-300, 0), rnd.randrange(-300, 0)) for _ in range(120)]
+    edges += edges[:5] + [(7, 7), (None, 3), (4, None)]
+    for kind, of in (("long", lambda x: x), ("string", lambda x: None if x is None else f"n{x}")):
+        df = spark.createDataFrame([(of(a), of(b)) for a, b in edges], f"a {kind}, b {kind}")
+        one, rounds = (sorted(map(tuple, connected_components(df, small=n).collect())) for n in (10**6, 0))
+        assert one == rounds and len({r for _, r in one}) > 2
+    assert connected_components(df.limit(0)).count() == 0
