@@ -10,7 +10,7 @@ from ..functions import symbols as S
 from ..functions.imports import extract_imports, resolve
 from ..functions.paths import in_project, language_of
 from ..plans.graph import Graph
-from ..runtime import cut
+from ..runtime import cut, written
 
 #: Powers of four that hold the lines of any packed position.
 LEVELS = 8
@@ -82,8 +82,9 @@ def call_edges(occurrences: DataFrame) -> DataFrame:
     """(source, target): symbol whose definition encloses a reference most closely, and the referred symbol.
 
     Definitions and references meet by file and block of lines: a definition has the blocks (two at
-    most) of the smallest power of four that holds its lines, a reference one block of each size. So
-    a reference meets definitions around its place only, not all of its file. A definition may have
+    most) of the smallest power of four that holds its lines, a reference one block of each size that
+    some definition has (at most LEVELS + 1, often one or two). So a reference meets definitions
+    around its place only, not all of its file. A definition may have
     enclosing_start and enclosing_end; its own range counts otherwise. No call of itself; a pair
     counts once in a file.
     """
@@ -94,8 +95,10 @@ def call_edges(occurrences: DataFrame) -> DataFrame:
     bits = F.length(F.bin(last - first))
     defs = defs.withColumn("level", F.when(last == first, 0).otherwise(F.ceil(bits / 2)).cast("int"))
     defs = defs.withColumn("block", F.explode(F.array_distinct(F.array(F.expr("(d0 >> 16) >> (2 * level)"), F.expr("(d1 >> 16) >> (2 * level)")))))
+    defs = written(defs)
+    levels = sorted(r["level"] for r in defs.select("level").distinct().collect() if r["level"] <= LEVELS)  # LEVELS + 1 rows at most
     refs = occurrences.where(~S.has_role(F.col("roles"))).select("file_path", "range_start", "range_end", F.col("symbol_id").alias("target"))
-    refs = refs.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("block", F.expr("(range_start >> 16) >> (2 * level)"))
+    refs = refs.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("block", F.expr("(range_start >> 16) >> (2 * level)"))
     inside = refs.join(defs, ["file_path", "level", "block"]).where("d0 <= range_start AND range_end <= d1")
     best = inside.groupBy("file_path", "range_start", "range_end", "target").agg(F.max_by("source", F.struct("d0", "source")).alias("source"))
     return best.where("source <> target").select("file_path", "source", "target").distinct().select("source", "target", F.lit("calls").alias("kind"), F.lit("approximate").alias("confidence"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
-from ..runtime import cut
+from ..runtime import written
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class Graph:
 
     def stored(self, *names: str) -> Graph:
         """The graph with some of its tables computed once, in the shared folder: for operators that read them at every level of a search."""
-        return self.having(**{n: cut(getattr(self, n)) for n in names})
+        return self.having(**{n: written(getattr(self, n)) for n in names})
 
 
 def graph_of(spark: SparkSession, **rows) -> Graph:
@@ -79,6 +79,18 @@ DERIVED = {
     "meta": "SELECT 'schema_version' AS key, '5' AS value UNION ALL SELECT 'last_full_scip_index_ts', '899000000000'",
     "contents": f"SELECT {file_sql('(doc_id % N)')} AS path, min(text) AS content FROM documents GROUP BY 1",
 }
+#: Spark's forms of tables that are grouped: rows are told apart by the keys that paths and symbols are made of, before these are made. A test holds them against DERIVED.
+KEYED = {
+    "occurrences": f"""SELECT {file_sql('k')} AS file_path, range_start, range_end, 'sym:' || p AS symbol_id, roles FROM (SELECT k, range_start, max(range_end) AS range_end, p, max(roles) AS roles FROM (
+      SELECT p_partkey % N AS k, CAST(p_size * 65536 + 4 AS INT) AS range_start, CAST((p_size + 10) * 65536 + 1 AS INT) AS range_end, p_partkey AS p, 1 AS roles FROM part
+      UNION ALL SELECT l_suppkey, CAST((l_orderkey % 30000) * 65536 + l_linenumber AS INT), CAST((l_orderkey % 30000) * 65536 + l_linenumber + 5 AS INT), l_partkey,
+        CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 8 ELSE 4 END FROM lineitem) u GROUP BY k, range_start, p) v""",
+    "edges": f"""SELECT {file_sql('a')} AS source, CASE WHEN b % 7 = 0 THEN {stem_sql('b')} ELSE {file_sql('b')} END AS target, 'imports' AS kind, 'structural' AS confidence
+      FROM (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_suppkey <> b.l_suppkey) i
+      UNION ALL SELECT {file_sql('(p_partkey % N)')}, 'sym:' || p_partkey, 'exports', 'high' FROM part JOIN supplier ON s_suppkey = p_partkey % N WHERE s_acctbal > 5000
+      UNION ALL SELECT 'sym:' || a, 'sym:' || b, 'calls', 'approximate'
+      FROM (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey) c""",
+}
 SOURCES = ("supplier", "part", "lineitem", "nation", "events", "orders", "documents")
 
 
@@ -87,7 +99,7 @@ def derived(spark: SparkSession, sf_dir: str) -> Graph:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES}
     n = tables["supplier"].count()
     made = {}
-    for name, sql in DERIVED.items():
+    for name, sql in (DERIVED | KEYED).items():
         text = sql.replace("% N)", f"% {n})").replace("% N ", f"% {n} ").replace("SHA(s_name)", "sha2(s_name, 256)")
         text = re.sub(r"MILLIS\((\w+)\)", r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', \1)", text)  # free of the session's time zone
         made[name] = spark.sql(_with_frames(text), **{t: df for t, df in tables.items() if f" {t}" in text})

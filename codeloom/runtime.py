@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of short strings that each executor may hold whole; about 100 bytes a row in a join.
+NEAR = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,5 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df from Parquet files in the shared folder: for large tables of which several readers take some columns or rows."""
+    folder = work_dir(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def near(df: DataFrame, most: int = NEAR) -> DataFrame:
+    """df, which is computed already, with a hint to send it to all executors if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/codeloom-{name}-{uuid.uuid4().hex}"
