@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import stem
 from ..functions.symbols import has_role
 from ..plans.graph import Graph
-from ..runtime import cut
+from ..runtime import cut, near, written
+
+#: Edges that a task adds before it shrinks what it holds.
+BLOCK = 1_500_000
 
 
 def reach(seeds: DataFrame, step, depth: int) -> DataFrame:
@@ -72,45 +79,98 @@ def call_graph(g: Graph, symbol_id: str, depth: int = 1) -> DataFrame:
     return out
 
 
-def _tarjan(edges: list[tuple[str, str]]) -> list[list[str]]:
-    """Strongly connected components of two or more nodes, without recursion."""
-    out: dict[str, list[str]] = {}
-    for a, b in edges:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    number: dict[str, int] = {}
-    low: dict[str, int] = {}
-    stack, on, found = [], set(), []
-    for root in sorted(out):
-        if root in number:
+def _strong(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Label (a member) of the strongly connected component of each of n nodes, by Tarjan's algorithm without recursion."""
+    order = np.argsort(a, kind="stable")
+    start, heads = np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist()
+    at, number, low, label = start[:n], [0] * n, [0] * n, [-1] * n
+    stack, count = [], 0
+    for root in range(n):
+        if number[root]:
             continue
-        work = [(root, iter(out[root]))]
-        number[root] = low[root] = len(number)
+        count += 1
+        number[root] = low[root] = count
         stack.append(root)
-        on.add(root)
+        work = [root]
         while work:
-            node, rest = work[-1]
-            for x in rest:
-                if x not in number:
-                    number[x] = low[x] = len(number)
+            node = work[-1]
+            k = at[node]
+            if k < start[node + 1]:
+                at[node] = k + 1
+                x = heads[k]
+                if not number[x]:
+                    count += 1
+                    number[x] = low[x] = count
                     stack.append(x)
-                    on.add(x)
-                    work.append((x, iter(out[x])))
-                    break
-                if x in on:
-                    low[node] = min(low[node], number[x])
+                    work.append(x)
+                elif label[x] < 0 and number[x] < low[node]:
+                    low[node] = number[x]
             else:
                 work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if work and low[node] < low[work[-1]]:
+                    low[work[-1]] = low[node]
                 if low[node] == number[node]:
-                    part = []
-                    while not part or part[-1] != node:
-                        part.append(stack.pop())
-                        on.discard(part[-1])
-                    if len(part) > 1:
-                        found.append(part)
-    return found
+                    while label[node] < 0:
+                        label[stack.pop()] = node
+    return np.array(label, dtype=np.int64)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Names, and the distinct edges as numbers of names."""
+    names = pa.concat_arrays([x[c].cast(pa.large_string()) for c in ("a", "b") for x in batches]).dictionary_encode()
+    ids, n = names.indices.to_numpy().astype(np.int64), len(names.dictionary)
+    pairs = np.unique(ids[: len(ids) // 2] * n + ids[len(ids) // 2:])
+    return names.dictionary, pairs // max(n, 1), pairs % max(n, 1)
+
+
+def _out(names: pa.Array, a: np.ndarray, b: np.ndarray, columns: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(a), 10_000):
+        yield pa.record_batch([names.take(pa.array(x[k:k + 10_000])).cast(pa.string()) for x in (a, b)], names=list(columns))
+
+
+def _shrunk(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Edges with the same components: a ring through each component, and one edge for all between two of them."""
+    names, a, b = _joined(batches)
+    n = len(names)
+    label = _strong(n, a, b)
+    x, y = label[a], label[b]
+    links = np.unique(x[x != y] * n + y[x != y])
+    ring = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.diff(label[ring], prepend=-1))
+    after = np.roll(ring, -1)
+    after[np.append(first[1:], n) - 1] = ring[first]
+    ring, after = ring[ring != after], after[ring != after]
+    return list(_out(names, np.append(links // n, ring), np.append(links % n, after), ("a", "b")))
+
+
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shrinks edges as they come; holds at most twice BLOCK of them."""
+    held, n, kept = [], 0, 0
+    for x in batches:
+        held.append(x)
+        n += x.num_rows
+        if n >= kept + BLOCK:
+            held = _shrunk(held)
+            n = kept = sum(h.num_rows for h in held)
+            if kept > BLOCK:
+                yield from held
+                held, n, kept = [], 0, 0
+    if n > kept:
+        held = _shrunk(held)
+    yield from held
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges, held by this task."""
+    held = [x for x in batches if x.num_rows]
+    if held:
+        names, a, b = _joined(held)
+        label = _strong(len(names), a, b)
+        order = pc.sort_indices(names).to_numpy().astype(np.int64)
+        groups, smallest, size = np.unique(label[order], return_index=True, return_counts=True)
+        at = np.searchsorted(groups, label)
+        some = np.flatnonzero(size[at] > 1)
+        yield from _out(names, some, order[smallest[at[some]]], ("node", "component"))
 
 
 def _propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -124,22 +184,27 @@ def _propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components(edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
+def components(edges: DataFrame, local_edges: int = 3_000_000) -> DataFrame:
     """(node, component) of strongly connected components of two or more nodes; component is the smallest member.
 
-    Up to local_edges edges (counted first) one task runs Tarjan's algorithm. Beyond that,
-    rounds of colouring: the smallest node that reaches a node is its colour; nodes of a colour
-    that reach back to it are a component and leave; edges between colours leave too. Both ways
-    give the same rows.
+    Tasks replace the components among the edges that they read by rings, and edges between these
+    by one each, which changes no component and leaves little of a dense graph. Few tasks then do
+    so with what is left, as long as it shrinks. At most local_edges edges (counted first) are
+    settled by one task. Beyond that, rounds of colouring: the smallest node that reaches a node is
+    its colour; nodes of a colour that reach back to it are a component and leave; edges between
+    colours leave too. All ways give the same rows.
     """
-    e = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct())
-    if e.count() <= local_edges:
-        def run(frames):
-            rows = [r for f in frames for r in zip(f.a, f.b)]
-            found = [(n, min(p)) for p in _tarjan(rows) for n in p]
-            yield pd.DataFrame({"node": [f[0] for f in found], "component": [f[1] for f in found]}, dtype=object)
-
-        return e.coalesce(1).mapInPandas(run, "node string, component string")
+    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
+    tasks, before = 2 * e.sparkSession.sparkContext.defaultParallelism, None
+    while True:
+        e = written(e.coalesce(tasks).mapInArrow(_shrink, "a string, b string"))
+        n = e.count()
+        if n <= local_edges:
+            return e.coalesce(1).mapInArrow(_settle, "node string, component string")
+        if tasks == 1 or before is not None and n > 0.7 * before:
+            break
+        tasks, before = max(1, tasks // 8), n
+    e = e.distinct()
     done = None
     while not e.isEmpty():
         live = e.select(F.col("a").alias("node")).intersect(e.select(F.col("b").alias("node")))
@@ -158,7 +223,7 @@ def components(edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
     return done if done is not None else e.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
 
 
-def cycles(g: Graph, scope: str | None = None, local_edges: int = 200_000) -> DataFrame:
+def cycles(g: Graph, scope: str | None = None, local_edges: int = 3_000_000) -> DataFrame:
     """(first, members, size) of the import cycles; a file that imports only itself is none."""
     e = g.edges.where("kind = 'imports'")
     e = e.where(F.col("source").startswith(scope)) if scope else e

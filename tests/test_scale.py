@@ -20,6 +20,39 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def batches(pairs, n=5):
+    return iter([pa.record_batch([pa.array([p[i] for p in pairs[k:k + n]], pa.string()) for i in (0, 1)], names=["a", "b"]) for k in range(0, len(pairs), n)])
+
+
+def told(found):
+    return sorted(tuple(r.values()) for x in found for r in x.to_pylist())
+
+
+def test_dense_edges_shrink_to_a_ring(monkeypatch):
+    monkeypatch.setattr(traverse, "BLOCK", 100)
+    names = [f"é{k}" for k in range(30)]
+    pairs = [(a, b) for a in names for b in names if a != b] + [(a, "sink") for a in names] + [("spring", a) for a in names]
+    left = told(traverse._shrink(batches(pairs)))
+    assert len(left) <= len(names) + 2 * len(names)
+    assert told(traverse._settle(batches(left))) == sorted((a, min(names)) for a in names)
+    assert told(traverse._settle(iter([]))) == [] == told(traverse._shrink(iter([])))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_shrunk_edges_have_the_same_components(monkeypatch, seed):
+    monkeypatch.setattr(traverse, "BLOCK", 6)
+    rnd = random.Random(seed)
+    pairs = [(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for _ in range(rnd.choice([3, 15, 30]))]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    reach = {x: {b for a, b in pairs if a == x} for p in pairs for x in p}
+    for _ in reach:
+        for s in reach.values():
+            s |= {y for x in list(s) for y in reach[x]}
+    want = sorted((a, min([a, *(b for b in s if a in reach[b])])) for a, s in reach.items() if any(b != a and a in reach[b] for b in s))
+    assert told(traverse._settle(batches(pairs))) == want
+    assert told(traverse._settle(traverse._shrink(batches(pairs)))) == want
+
+
 def test_references_meet_only_sizes_that_definitions_have(spark):
     at = lambda line: line << 16
     occ = spark.createDataFrame([("f", at(3), at(13), "outer", D), ("f", at(5), at(5) + 3, "inner", R)], "file_path string, range_start int, range_end int, symbol_id string, roles int")
