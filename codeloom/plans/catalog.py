@@ -374,6 +374,11 @@ def _old(g: Graph) -> Graph:
     return g.having(edges=g.edges.where("NOT startswith(source, 'src/n1')"))
 
 
+def _modules(g: Graph) -> Graph:
+    """The graph with its import and export edges stored: all that metrics, policies and layers read."""
+    return g.having(edges=g.edges.where("kind IN ('imports', 'exports')")).stored("edges")
+
+
 OLD = "(SELECT * FROM edges WHERE NOT starts_with(source, 'src/n1'))"
 
 
@@ -388,6 +393,7 @@ def metrics_diff_coupling(g):
 SELECT 'new' AS change, array_to_string(members, ',') AS members FROM cs WHERE members NOT IN (SELECT members FROM cs2)
 UNION ALL SELECT 'removed', array_to_string(members, ',') FROM cs2 WHERE members NOT IN (SELECT members FROM cs)""", "edges")
 def metrics_diff_cycles(g):
+    g = _modules(g)
     return metrics.diff_cycles(metrics.cycles(g), metrics.cycles(_old(g))).withColumn("members", F.array_join("members", ","))
 
 

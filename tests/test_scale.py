@@ -53,6 +53,20 @@ def test_shrunk_edges_have_the_same_components(monkeypatch, seed):
     assert told(traverse._settle(traverse._shrink(batches(pairs)))) == want
 
 
+def _edges_of_cycles(spark, monkeypatch, name):
+    seen, run = [], traverse.components
+    monkeypatch.setattr(traverse, "components", lambda e, *n: seen.append(plan(e)) or run(e, *n))
+    catalog.QUERIES[name](spark, FOLDER)
+    return seen
+
+
+@tables
+@pytest.mark.parametrize("name", ["metrics_diff_cycles"])
+def test_both_states_read_stored_edges(spark, monkeypatch, name):
+    seen = _edges_of_cycles(spark, monkeypatch, name)
+    assert len(seen) == 2 and not any("l_orderkey" in p for p in seen)
+
+
 def test_references_meet_only_sizes_that_definitions_have(spark):
     at = lambda line: line << 16
     occ = spark.createDataFrame([("f", at(3), at(13), "outer", D), ("f", at(5), at(5) + 3, "inner", R)], "file_path string, range_start int, range_end int, symbol_id string, roles int")
