@@ -420,6 +420,7 @@ def _before(g: Graph) -> dict[str, DataFrame]:
 
 @query(f"+{POLICIES} SELECT type, subject FROM po", "files edges projects")
 def policy_violations(g):
+    g = _modules(g)
     return verify.policies(g, RULES, _before(g)).select("type", "subject")
 
 

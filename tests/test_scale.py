@@ -61,7 +61,7 @@ def _edges_of_cycles(spark, monkeypatch, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["metrics_diff_cycles"])
+@pytest.mark.parametrize("name", ["policy_violations", "metrics_diff_cycles"])
 def test_both_states_read_stored_edges(spark, monkeypatch, name):
     seen = _edges_of_cycles(spark, monkeypatch, name)
     assert len(seen) == 2 and not any("l_orderkey" in p for p in seen)
