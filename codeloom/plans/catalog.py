@@ -719,7 +719,7 @@ def generic_parse(spark, sf_dir):
 
 
 def _all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = derived(spark, sf_dir).stored("edges")
+    g = _modules(derived(spark, sf_dir))
     return verify.verify(g, _layers(g), RULES, _before(g), _logs(spark, sf_dir, "tsc").withColumn("tool", F.lit("tsc")))
 
 

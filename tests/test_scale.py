@@ -67,6 +67,14 @@ def test_both_states_read_stored_edges(spark, monkeypatch, name):
     assert len(seen) == 2 and not any("l_orderkey" in p for p in seen)
 
 
+@tables
+def test_checks_store_edges_of_modules_only(spark, monkeypatch):
+    kinds, run = [], catalog.verify.verify
+    monkeypatch.setattr(catalog.verify, "verify", lambda g, *a: kinds.extend(r.kind for r in g.edges.select("kind").distinct().collect()) or run(g, *a))
+    catalog._all_issues(spark, FOLDER)
+    assert sorted(kinds) == ["exports", "imports"]
+
+
 def test_references_meet_only_sizes_that_definitions_have(spark):
     at = lambda line: line << 16
     occ = spark.createDataFrame([("f", at(3), at(13), "outer", D), ("f", at(5), at(5) + 3, "inner", R)], "file_path string, range_start int, range_end int, symbol_id string, roles int")
