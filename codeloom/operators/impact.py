@@ -9,10 +9,10 @@ from ..functions import scoring
 from ..functions.paths import is_test, test_command
 from ..functions.symbols import has_role, line_of
 from ..plans.graph import Graph
-from ..runtime import cut
+from ..runtime import cut, near
 from .lookup import first_per, with_snippets
 from .prefix import package_of
-from .traverse import calling_files, importers, reach, referrers
+from .traverse import Uses, calls_by_file, definitions, importers, reach, referrers
 
 
 def path_rows(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
@@ -62,14 +62,13 @@ def symbol_details(g: Graph, paths: DataFrame) -> DataFrame:
 def affected(g: Graph, paths: DataFrame, depth: int = 5, call_graph: bool = False) -> DataFrame:
     """(path, depth, reason) of files reached from paths over references, imports and, if asked, calls."""
 
+    uses = Uses(definitions(g), {0: g.occurrences.select("symbol_id", F.col("file_path").alias("node"))} | ({2: calls_by_file(g)} if call_graph else {}))
+
     def step(f: DataFrame) -> DataFrame:
-        out = referrers(g, f).select("node", F.lit(0).alias("rank"), F.concat(F.lit("references symbol from "), "via").alias("via"))
-        out = out.unionByName(importers(g, f).select("node", F.lit(1).alias("rank"), F.concat(F.lit("imports "), "via").alias("via")))
-        if call_graph:
-            out = out.unionByName(calling_files(g, f).select("node", F.lit(2).alias("rank"), F.concat(F.lit("calls into "), "via").alias("via")))
-        return out
+        return uses.step(f).unionByName(importers(g, f).select("node", F.lit(1).alias("rank"), "via"))
 
-    return reach(paths, step, depth).where("depth > 0").select(F.col("node").alias("path"), "depth", F.col("via").alias("reason"))
+    why = F.when(F.col("rank") == 0, "references symbol from ").when(F.col("rank") == 1, "imports ").otherwise("calls into ")
+    return reach(paths, step, depth).where("depth > 0").select(F.col("node").alias("path"), "depth", F.concat(why, "via").alias("reason"))
 
 
 def public_symbols(g: Graph, paths: DataFrame) -> DataFrame:
@@ -80,7 +79,7 @@ def public_symbols(g: Graph, paths: DataFrame) -> DataFrame:
 
 def api_breaks(g: Graph, paths: DataFrame) -> DataFrame:
     """(id, name, downstream): public changed symbols that other packages refer to."""
-    public = public_symbols(g, paths).select("id", "name")
+    public = near(cut(public_symbols(g, paths).select("id", "name")))
     refs = g.occurrences.where(~has_role(F.col("roles"))).join(public.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select("symbol_id", "file_path").distinct()
     own = package_of(g, paths, "node").where("package IS NOT NULL").select("package").distinct()
     used = package_of(g, refs, "file_path").where("package IS NOT NULL").join(own, "package", "left_anti")
@@ -100,7 +99,7 @@ def test_files(paths: DataFrame, found: DataFrame) -> DataFrame:
 
 def transitive(g: Graph, paths: list[str] | DataFrame, depth: int = 5, call_graph: bool = False) -> dict[str, DataFrame]:
     """affected, packages, breaks, tests and the one-row risk of a change."""
-    paths = cut(path_rows(g.files.sparkSession, paths))
+    paths = near(cut(path_rows(g.files.sparkSession, paths)))
     found = cut(affected(g, paths, depth, call_graph))
     packages, breaks = cut(affected_packages(g, paths, found)), cut(api_breaks(g, paths))
     n = lambda df, name: df.agg(F.count("*").alias(name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,14 @@ def reach(seeds: DataFrame, step, depth: int) -> DataFrame:
     """(node, depth, rank, via) from seeds(node): level by level, each node at its first level.
 
     step(frontier) gives (node, rank, via); the smallest (rank, via) is the reason. One join a
-    level, checkpointed; ends when a level is empty. Seeds have depth 0.
+    level, checkpointed; ends when a level is empty. Seeds have depth 0. A level (and what is seen)
+    of at most NEAR nodes goes to all executors, so that the edges stay where they are.
     """
     seen = cut(seeds.select("node", F.lit(0).alias("depth"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("via")).distinct())
     frontier = seen
     for d in range(1, depth + 1):
-        found = step(frontier.select("node")).where("node IS NOT NULL").join(seen.select("node"), "node", "left_anti")
-        found = found.groupBy("node").agg(F.min(F.struct("rank", "via")).alias("r"))
+        found = step(near(frontier.select("node"))).where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("rank", "via")).alias("r"))
+        found = found.join(near(seen.select("node")), "node", "left_anti")
         frontier = cut(found.select("node", F.lit(d).alias("depth"), "r.rank", "r.via"))
         if frontier.isEmpty():
             break
@@ -46,16 +48,48 @@ def importers(g: Graph, frontier: DataFrame, kinds: list[str] | None = None) ->
 
 def referrers(g: Graph, frontier: DataFrame, references_only: bool = False) -> DataFrame:
     """(node, via, symbol_id): files with an occurrence of a symbol that a frontier file defines."""
-    defs = g.occurrences.where(has_role(F.col("roles"))).join(frontier.select(F.col("node").alias("file_path")), "file_path").select("symbol_id", F.col("file_path").alias("via")).distinct()
+    defs = definitions(g).join(frontier.select(F.col("node").alias("via")), "via").select("symbol_id", "via")
     uses = g.occurrences.where(~has_role(F.col("roles"))) if references_only else g.occurrences
     return uses.join(defs, "symbol_id").select(F.col("file_path").alias("node"), "via", "symbol_id")
 
 
-def calling_files(g: Graph, frontier: DataFrame) -> DataFrame:
-    """(node, via): files of symbols that call a symbol which a frontier file defines."""
-    defs = g.occurrences.where(has_role(F.col("roles"))).join(frontier.select(F.col("node").alias("file_path")), "file_path").select(F.col("symbol_id").alias("target"), F.col("file_path").alias("via")).distinct()
-    calls = g.edges.where("kind = 'calls'").select("source", "target").join(defs, "target")
-    return calls.join(g.symbols.where("file_path IS NOT NULL").select(F.col("id").alias("source"), F.col("file_path").alias("node")), "source").select("node", "via")
+def definitions(g: Graph) -> DataFrame:
+    """(symbol_id, via): symbols and the files that define them."""
+    return g.occurrences.where(has_role(F.col("roles"))).select("symbol_id", F.col("file_path").alias("via")).distinct()
+
+
+def calls_by_file(g: Graph) -> DataFrame:
+    """(symbol_id, node): called symbols and the files of the symbols that call them."""
+    homes = g.symbols.where("file_path IS NOT NULL").select(F.col("id").alias("source"), F.col("file_path").alias("node"))
+    return g.edges.where("kind = 'calls'").select("source", F.col("target").alias("symbol_id")).join(homes, "source").select("symbol_id", "node")
+
+
+class Uses:
+    """Uses(symbol_id, node) as steps from files that define a symbol to its nodes.
+
+    Uses of a symbol with one file are stored as pairs of files, once for all levels of a search;
+    those of a symbol with several stay with the symbol, so that a level tells each of its uses
+    once and no product of definitions and uses is made.
+    """
+
+    def __init__(self, defs: DataFrame, uses: dict[int, DataFrame]):
+        homes = written(defs.groupBy("symbol_id").agg(F.count("*").alias("n"), F.min("via").alias("via")))
+        many = homes.where("n > 1").select("symbol_id")
+        ranked = [df.where("node IS NOT NULL").withColumn("rank", F.lit(rank)) for rank, df in uses.items()]
+        self.pairs = [written(df.join(homes.where("n = 1").select("symbol_id", "via"), "symbol_id").select("via", "node", "rank")) for df in ranked]
+        self.shared = []
+        if not many.isEmpty():
+            self.defs = written(defs.join(many, "symbol_id", "left_semi"))
+            self.shared = [written(df.join(many, "symbol_id", "left_semi")) for df in ranked]
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        """(node, rank, via), via being the smallest file of the frontier that defines a shared symbol."""
+        f = frontier.select(F.col("node").alias("via"))
+        out = [df.join(f, "via").select("node", "rank", "via") for df in self.pairs]
+        if self.shared:
+            now = near(cut(self.defs.join(f, "via").groupBy("symbol_id").agg(F.min("via").alias("via"))))
+            out += [df.join(now, "symbol_id").select("node", "rank", "via") for df in self.shared]
+        return reduce(DataFrame.unionByName, out)
 
 
 def call_graph(g: Graph, symbol_id: str, depth: int = 1) -> DataFrame:

@@ -84,6 +84,45 @@ def test_references_meet_only_sizes_that_definitions_have(spark):
     assert changes.call_edges(occ.where("roles = 8")).count() == 0
 
 
+def _search(spark, seed, calls):
+    rnd = random.Random(seed)
+    f, s = [f"d/f{k}.ts" for k in range(12)], [f"s{k}" for k in range(8)]
+    occ = [(rnd.choice(f), k, k + 1, rnd.choice(s), rnd.choice([D, D, R])) for k in range(16)]
+    symbols = [(x, "function", x, rnd.choice([*f, None]), 0, 1, None) for x in s]
+    edges = [(rnd.choice(f), rnd.choice(f)[:rnd.choice([4, 20])], "imports", "high") for _ in range(4)] + [(rnd.choice(s), rnd.choice(s), "calls", "high") for _ in range(4)]
+    home, stem = {x[0]: x[3] for x in symbols}, lambda p: p.rsplit(".", 1)[0]
+    seen, level, want = {f[0]}, {f[0]}, {}
+    for depth in range(1, 4):
+        now = {}
+        for via in level:
+            mine = {o[3] for o in occ if o[0] == via and o[4] == D}
+            steps = [(o[0], 0, "references symbol from ") for o in occ if o[3] in mine] + [(e[0], 1, "imports ") for e in edges if e[1] in (via, stem(via))]
+            steps += [(home[e[0]], 2, "calls into ") for e in edges if calls and e[2] == "calls" and e[1] in mine and home[e[0]]]
+            for node, rank, word in steps:
+                if node not in seen:
+                    now[node] = min(now.get(node, (9,)), (rank, via, word + via))
+        want |= {x: (x, depth, r[2]) for x, r in now.items()}
+        seen, level = seen | set(now), set(now)
+    return graph.graph_of(spark, occurrences=occ, symbols=symbols, edges=edges), f[0], sorted(want.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_affected_equals_search_file_by_file(spark, seed):
+    g, start, want = _search(spark, seed, calls=seed % 2 == 1)
+    got = impact.affected(g, impact.path_rows(spark, [start]), 3, seed % 2 == 1)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_levels_move_no_uses_and_make_no_product(spark):
+    defs = spark.createDataFrame([("one", "a")] + [("many", f"d{k}") for k in range(20)], "symbol_id string, via string")
+    uses = spark.createDataFrame([("one", "x")] + [("many", f"u{k}") for k in range(20)], "symbol_id string, node string")
+    u = traverse.Uses(defs, {0: uses})
+    assert u.pairs[0].count() == 1 and u.shared[0].count() == 20
+    frontier = spark.createDataFrame([("a",), ("d3",), ("d2",)], "node string")
+    assert sorted(map(tuple, u.step(frontier).collect())) == sorted([("x", 0, "a")] + [(f"u{k}", 0, "d2") for k in range(20)])
+    assert "SortMergeJoin" not in (p := u.step(near(frontier))._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in p
+
+
 @pytest.mark.parametrize("name", sorted(graph.KEYED))
 def test_tables_by_keys_equal_their_sql(spark, name):
     rnd = random.Random(5)
