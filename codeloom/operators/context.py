@@ -9,7 +9,7 @@ from ..functions import fixed, scoring
 from ..functions.paths import is_test, snippet, token_estimate
 from ..functions.symbols import has_role, line_of
 from ..plans.graph import Graph
-from ..runtime import cut
+from ..runtime import cut, near
 from .impact import path_rows
 from .lookup import named_kinds
 from .traverse import importers, referrers
@@ -36,7 +36,7 @@ def discover(g: Graph, entries: list[str] | DataFrame, depth: int = 3, include_t
     seen = cut(seeds.select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("priority"), F.lit("entry file").alias("reason")))
     frontier = seen
     for d in range(1, depth + 1):
-        f = frontier.select("node")
+        f = near(frontier.select("node"))
         forward = resolve_targets(g, g.edges.where("kind = 'imports'").join(f.withColumnRenamed("node", "source"), "source").select(F.col("source").alias("via"), "target"))
         refs = referrers(g, f, references_only=True)
         order = Window.partitionBy("via", "symbol_id").orderBy("node")

@@ -123,6 +123,9 @@ def test_levels_move_no_uses_and_make_no_product(spark):
     assert "SortMergeJoin" not in (p := u.step(near(frontier))._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in p
 
 
+ORDERS = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"
+
+
 @pytest.mark.parametrize("name", sorted(graph.KEYED))
 def test_tables_by_keys_equal_their_sql(spark, name):
     rnd = random.Random(5)
